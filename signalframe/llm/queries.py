@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import exact_dedup, packing, token_counts
+from signalframe.llm import decontamination, exact_dedup, packing, token_counts
 from signalframe.llm.common import read, ship_package
 
 
@@ -15,6 +15,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document the benchmark's windows hit, by an FM-index for each shard."""
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens by linear grouping."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
@@ -35,7 +40,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op6_best_fit_packing, op10_exact_dedup]
+    found = [op4_token_counts, op5_decontamination, op6_best_fit_packing, op10_exact_dedup]
     return {q.__name__: _shipped(q) for q in found}
 
 
