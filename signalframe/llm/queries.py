@@ -6,10 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import decontamination, exact_dedup, packing, token_counts
+from signalframe.llm import chat, decontamination, exact_dedup, lattice_lm, packing, parity_join, quality, substring_dedup, token_counts, url_filter
 from signalframe.llm.common import read, ship_package
 
 
+#: The listed URLs of ``op3_url_filters``: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under the subword lattice model learned from the training split."""
+    return lattice_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of Jaccard 0.9 on word trigrams, by parity sketches."""
+    return parity_join.similar_components(read(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url, by a blocked Bloom filter and an exact hash join."""
+    return url_filter.url_verdicts(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents by prefix dynamic programming."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
@@ -25,6 +50,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-word windows of earlier ones, by a de Bruijn graph."""
+    return substring_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and selection of every document by ordinal cumulative-link regression."""
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that imitates the template, rendered by growing prefixes and read back."""
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
+    return chat.digests(given.unionByName(tricky))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every document by Grace hash deduplication."""
     return exact_dedup.report(read(spark, sf_dir, "documents"))
@@ -40,13 +82,30 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op5_decontamination, op6_best_fit_packing, op10_exact_dedup]
+    found = [op1_lattice_lm, op2_ngram_jaccard_join, op3_url_filters, op4_token_counts, op5_decontamination, op6_best_fit_packing, op7_substring_dedup, op8_quality_classifier, op9_chat_formatting, op10_exact_dedup]
     return {q.__name__: _shipped(q) for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
-
+    return {"op3_url_filters": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+
+
+OP3_SQL = r"""
+WITH r(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), u AS (
+  SELECT page_id, row_number() OVER () AS n, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, n, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+), f AS (
+  SELECT s.n, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY s.n ORDER BY length(r.host || r.path) DESC) AS k
+  FROM s JOIN r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM s LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (n)
+"""
 
 OP10_SQL = r"""
 WITH t AS (
