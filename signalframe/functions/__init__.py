@@ -49,12 +49,19 @@ def mean_of(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), the value computed once for the row rather than wherever f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def z_score(x: Column) -> Column:
     """(x - mean) / standard deviation (ddof 0) of an array."""
-    mean = mean_of(x)
-    centred = F.transform(x, lambda v: v - mean)
-    scale = F.sqrt(mean_of(F.transform(centred, lambda v: v * v)))
-    return F.transform(centred, lambda v: divide(v, scale))
+
+    def scaled(mean: Column) -> Column:
+        scale = F.sqrt(mean_of(F.transform(x, lambda v: (v - mean) * (v - mean))))
+        return let(scale, lambda s: F.transform(x, lambda v: divide(v - mean, s)))
+
+    return let(mean_of(x), scaled)
 
 
 def diagonal_count(t: Column, n: Column, length: Column | int, compat: bool = False) -> Column:

@@ -36,13 +36,13 @@ def nearest_join(wanted: DataFrame, samples: DataFrame, value: str, by: list[str
 
 
 def offsets(events: DataFrame, low: int, high: int, time: str = "time") -> DataFrame:
-    """A row for each event and whole offset from ``low`` to ``high``: time is moved by it."""
-    return events.withColumn("offset", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(time, F.col(time) + F.col("offset"))
+    """A row for each event and whole shift from ``low`` to ``high``: time is moved by it."""
+    return events.withColumn("shift", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(time, F.col(time) + F.col("shift"))
 
 
 def epoch_rows(found: DataFrame, key: str, value: str) -> DataFrame:
-    """key, x: the values of each epoch in order of their offset."""
-    ordered = F.array_sort(F.collect_list(F.struct("offset", value)))
+    """key, x: the values of each epoch in order of their shift."""
+    ordered = F.array_sort(F.collect_list(F.struct("shift", value)))
     return found.groupBy(key).agg(F.transform(ordered, lambda s: s[value]).alias("x"))
 
 

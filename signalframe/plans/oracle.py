@@ -57,9 +57,9 @@ bs AS (SELECT g, xi, yi, exp(-0.5::DOUBLE * (al * al / (sigma * sigma) + ac * ac
 MADE = "made AS (SELECT row_id AS window_id, xi * 8 + yi AS p, sum(x.v * bs.v) AS v FROM x JOIN bs ON x.j = bs.g GROUP BY ALL)"
 FLAT = "w AS (SELECT (row_id * 64 + j) // 64 AS window_id, (row_id * 64 + j) % 64 AS p, v FROM x)"
 NEAREST = f"""{SERIES}, lfp AS (SELECT t::DOUBLE AS time, x FROM s WHERE signal_id = 'view'),
-tr AS (SELECT event_id AS trigger, (epoch_us(ts) - 1704067200000000) / 21600000000.0::DOUBLE AS at FROM events WHERE event_type = 'purchase'),
-o AS (SELECT trigger, n::BIGINT AS "offset", at + n AS time FROM tr, range(-2, 3) q(n)),
-e AS (SELECT o.trigger, o."offset", o.time, l.time AS found_time, l.x AS lfp, row_number() OVER (PARTITION BY o.trigger, o."offset" ORDER BY abs(l.time - o.time), l.time DESC) AS n
+tr AS (SELECT event_id AS trigger, (epoch_us(ts) - 1704067200000000) / 21600000000.0::DOUBLE AS began FROM events WHERE event_type = 'purchase'),
+o AS (SELECT trigger, n::BIGINT AS shift, began + n AS time FROM tr, range(-2, 3) q(n)),
+e AS (SELECT o.trigger, o.shift, o.time, l.time AS found_time, l.x AS lfp, row_number() OVER (PARTITION BY o.trigger, o.shift ORDER BY abs(l.time - o.time), l.time DESC) AS n
       FROM o JOIN lfp l ON l.time BETWEEN least(o.time, (SELECT max(time) FROM lfp)) - 1 AND greatest(o.time, 0) + 1)"""
 
 
@@ -127,8 +127,8 @@ def oracle_sql() -> dict[str, str]:
         "image_crop": f"WITH {X} SELECT row_id AS y, j AS x, {r('v', 6, 'v')} FROM x WHERE j < 48",
         "image_mse": f"WITH {X} SELECT {r('avg(pow(z - v, 2))', 4, 'mse')} FROM (SELECT v, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z FROM x)",
         "distinct_types": "SELECT DISTINCT event_type FROM events WHERE event_type <> 'error'",
-        "epoch_nearest": f"WITH {NEAREST} SELECT trigger, {r('time', 6, 'time')}, \"offset\", {r('found_time', 6, 'found_time')}, {r('lfp', 6, 'lfp')} FROM e WHERE n = 1",
-        "epoch_rows": f"WITH {NEAREST} SELECT trigger, \"offset\" + 2 AS place, {r('lfp', 6, 'v')} FROM e WHERE n = 1",
+        "epoch_nearest": f"WITH {NEAREST} SELECT trigger, {r('time', 6, 'time')}, shift, {r('found_time', 6, 'found_time')}, {r('lfp', 6, 'lfp')} FROM e WHERE n = 1",
+        "epoch_rows": f"WITH {NEAREST} SELECT trigger, shift + 2 AS place, {r('lfp', 6, 'v')} FROM e WHERE n = 1",
         "drop_nan_rows": f"WITH {X} SELECT row_id, j, {r('v', 6, 'v')} FROM x WHERE row_id % 50 <> 0",
         "limit_rows": "SELECT event_type, event_id FROM events ORDER BY event_type, event_id LIMIT 500",
         "sample_rows": "SELECT vec_id AS row_id FROM embeddings ORDER BY md5('7:' || vec_id), vec_id LIMIT 200",

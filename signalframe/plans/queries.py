@@ -405,7 +405,7 @@ def distinct_types(spark, sf_dir):
 
 @query
 def epoch_nearest(spark, sf_dir):
-    return digits(longs(epoch_table(spark, sf_dir), "offset"), time=6, found_time=6, lfp=6)
+    return digits(longs(epoch_table(spark, sf_dir), "shift"), time=6, found_time=6, lfp=6)
 
 
 @query
