@@ -7,7 +7,8 @@ probabilities P(grade >= j), by which documents are selected.
 
 Features are the distinct words of the whole text and coarse shares of it (upper
 case, symbols, repeated words and others), hashed into one space of ``BUCKETS``
-weights.
+weights. Only buckets that go with some grade get a weight (``SHIFT``, ``CHI2``):
+else the many words that say nothing would add up in long texts.
 
 The model is fitted on a bounded sample of labelled documents, ``SAMPLE`` of them
 with the least hashes of their ids, gathered by a broadcast join; every document
@@ -35,10 +36,11 @@ from pyspark.sql import types as T
 from signalframe.llm.common import fresh
 from signalframe.llm.decontamination import words_of
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 SAMPLE = 12_000
 LEAST_DOCS = 4  # features of fewer sampled documents get no weight
-STEPS, RATE, PENALTY = 120, 0.1, 2e-4
+SHIFT, CHI2 = 0.3, 20.0  # how far a grade's share must differ where a feature is, and the least test value
+STEPS, RATE, PENALTY = 200, 0.1, 3e-5
 GOOD = 2
 SURE = 0.5
 CACHED_WORDS = 400_000
@@ -81,7 +83,9 @@ def bucket(feature: bytes) -> int:
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """Weights by bucket, 0 where there is none, and the thresholds."""
+
+    weights: dict[int, float]
     thresholds: np.ndarray
 
     def tails(self, score: np.ndarray) -> np.ndarray:
@@ -89,16 +93,26 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
+def telling(column: np.ndarray, grade: np.ndarray, shares: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` features shift a grade's share by ``SHIFT`` at least, beyond chance."""
+    seen = np.stack([np.bincount(column[grade == g], minlength=n) for g in range(len(shares))], axis=1)
+    total = seen.sum(axis=1, keepdims=True)
+    expected = total * shares
+    chi2 = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=1)
+    shift = np.abs(seen / np.maximum(total, 1) - shares).max(axis=1)
+    return (total[:, 0] >= LEAST_DOCS) & (shift >= SHIFT) & (chi2 >= CHI2)
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
     """Maximum likelihood by full-batch Adam; ``rows`` are bucket numbers of each document."""
-    model = Model(np.zeros(BUCKETS), np.linspace(-4, -2, n_grades - 1))
+    model = Model({}, np.linspace(-4, -2, n_grades - 1))
     if not len(rows):
         return model
     sizes = np.array([len(r) for r in rows])
     doc, column = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
-    common = np.bincount(column, minlength=BUCKETS) >= LEAST_DOCS
-    doc, column = doc[common[column]], column[common[column]]
     used, column = np.unique(column, return_inverse=True)
+    informative = telling(column, grades[doc], np.bincount(grades, minlength=n_grades) / len(rows), len(used))
+    doc, column, used = doc[informative[column]], (np.cumsum(informative) - 1)[column[informative[column]]], used[informative]
     n = len(rows)
     w = np.zeros(len(used))
     free = np.concatenate([[-3.0], np.zeros(n_grades - 2)])  # the first threshold and the logs of the gaps
@@ -119,7 +133,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: in
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
             value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    model.weights[used] = w
+    model.weights = dict(zip(used.tolist(), w.tolist(), strict=True))
     model.thresholds = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
     return model
 
@@ -162,7 +176,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             if found is None:
                 if len(known) >= CACHED_WORDS:
                     known.clear()
-                found = known[feature] = float(model.weights[bucket(feature)])
+                found = known[feature] = model.weights.get(bucket(feature), 0.0)
             return found
 
         for batch in it:

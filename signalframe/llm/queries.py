@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from signalframe.llm import chat, decontamination, exact_dedup, lattice_lm, packing, parity_join, quality, substring_dedup, token_counts, url_filter
 from signalframe.llm.common import read, ship_package
 
@@ -72,6 +73,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -82,7 +88,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lattice_lm, op2_ngram_jaccard_join, op3_url_filters, op4_token_counts, op5_decontamination, op6_best_fit_packing, op7_substring_dedup, op8_quality_classifier, op9_chat_formatting, op10_exact_dedup]
+    found = [op1_lattice_lm, op2_ngram_jaccard_join, op3_url_filters, op4_token_counts, op5_decontamination, op6_best_fit_packing, op7_substring_dedup, op8_quality_classifier, op9_chat_formatting, op10_exact_dedup, pipeline]
     return {q.__name__: _shipped(q) for q in found}
 
 
