@@ -36,7 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 LARGE = 8  # lengths over capacity / LARGE are large
 GROUPS = 256
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_200_000
+MARKS = (",", ".")
 
 
 class WordIds:
@@ -59,40 +60,64 @@ class WordIds:
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
     def learn(self, parts: set[str]) -> None:
-        """Encodes the new ones joined by blanks, and tells their tokens apart by where these begin."""
-        new = sorted(p for p in parts if p not in self.index)
+        """Encodes new parts. One that ends with a stop or comma behind a letter or digit is its body's ids and the mark's, the library cutting there too, and A-Z are lower-cased as the library does; so each body is encoded once."""
+        new = [p for p in parts if p not in self.index]
         if len(self.index) + len(new) > self.limit:
             self.clear()
-            new = sorted(parts)
+            new = list(parts)
         if not new:
             return
-        encoded = self.library.encode(" ".join(new), add_special_tokens=False)
+        cut = {p: (p[:-1], p[-1]) if p[-1:] in MARKS and p[-2:-1].isalnum() else (p, "") for p in new}
+        plain = {b: b.lower() if b.isascii() and "<" not in b else b for b, _ in cut.values()}
+        bodies = sorted({*plain.values(), *MARKS})
+        encoded = self.library.encode(" ".join(bodies), add_special_tokens=False)
         ids = np.array(encoded.ids, np.uint32)
-        ends = np.cumsum([len(p) + 1 for p in new])
+        ends = np.cumsum([len(b) + 1 for b in bodies])
         owner = np.searchsorted(ends, np.fromiter((start for start, _ in encoded.offsets), np.int64, len(ids)), "right")
-        lengths = np.bincount(owner, minlength=len(new))
-        first, total = len(self.index), len(ids)
-        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        lengths = np.bincount(owner, minlength=len(bodies))
+        starts = np.cumsum(lengths) - lengths
+        number = {b: i for i, b in enumerate(bodies)}
+        marks = {m: ids[starts[number[m]] : starts[number[m]] + lengths[number[m]]] for m in MARKS} | {"": ids[:0]}
+        for mark, tail in marks.items():
+            mine = [p for p in new if cut[p][1] == mark]
+            if mine:
+                body = np.fromiter((number[plain[cut[p][0]]] for p in mine), np.int64, len(mine))
+                self._add(mine, ids, starts[body], lengths[body], tail)
+
+    def _add(self, parts: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tail: np.ndarray) -> None:
+        whole = lengths + len(tail)
+        first, total, ends = len(self.index), int(whole.sum()), np.cumsum(whole)
+        self.index.update(zip(parts, range(first, first + len(parts)), strict=True))
         while len(self.length) < len(self.index):
             self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.length[first : first + len(new)] = lengths
-        self.start[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + total] = ids
+        place = self.used + ends - whole
+        self.length[first : first + len(parts)] = whole
+        self.start[first : first + len(parts)] = place
+        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.flat[np.repeat(place, lengths) + within] = ids[np.repeat(starts, lengths) + within]
+        for i, token in enumerate(tail):
+            self.flat[place + lengths + i] = token
         self.used += total
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; the parts that all of them need are encoded together."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.learn({p for parts in split for p in parts if p not in self.index})
+        for parts in split:
+            try:
+                codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+            except KeyError:  # the cache was emptied for later parts
+                self.learn(set(parts))
+                codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+            lengths = self.length[codes]
+            ends = np.cumsum(lengths)
+            at = np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1])
+            yield self.flat[at]
+
     def encode(self, text: str | None) -> np.ndarray:
-        parts = (text or "").replace("\n", " ").split(" ")
-        try:
-            codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        except KeyError:
-            self.learn(set(parts))
-            codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1])
-        return self.flat[at]
+        return next(self.encode_all([text]))
 
 
 _encoders: dict[str, WordIds] = {}
@@ -119,10 +144,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         words = encoder(path or tokenizer_path())
         for batch in it:
             keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(texts), 512):
+            for lo in range(0, len(texts), 128):
                 rows, out = [], []
-                for row, text in enumerate(texts[lo : lo + 512].to_pylist(), lo):
-                    ids = np.append(words.encode(text), np.uint32(end_id)).astype("<u4")
+                for row, ids in enumerate(words.encode_all(texts[lo : lo + 128].to_pylist()), lo):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         rows.append(row)
