@@ -248,17 +248,25 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large)
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return materialise(stars.union(edges.select("v", "v")).distinct())
 
 
-def later_rounds(members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only the components that these join are resolved anew."""
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    nodes = labels.union(moved.select("component", "component").toDF("node", "component")).distinct()
+    return materialise(nodes.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
+
+
+def later_rounds(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The labels after comparing, in buckets (key, node) that span several components, growing shares of pivots with members of other components."""
     share, before, bound = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)), 0, PIVOTS
     counted = None
@@ -275,9 +283,7 @@ def later_rounds(members: DataFrame, links: DataFrame, labels: DataFrame, sets:
         pivots = labelled.where((share * F.col("size") >= before) & (share * F.col("size") < bound)).select("key", F.col("node").alias("pivot"), F.col("component").alias("other"))
         met = materialise(pivots).join(labelled, "key").where("other <> component")
         pairs = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        new = materialise(verified(materialise(pairs), sets, threshold))
-        links = links.union(new)
-        labels = components(links)
+        labels = relabelled(labels, materialise(verified(materialise(pairs), sets, threshold)))
         counted = labelled.drop("component")
         before, bound = bound, bound * GROWTH
 
@@ -297,7 +303,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = node_sets(docs, of_node.join(wanted, "node").select("node", "id"), id_col, text_col, k, seed)
     links = materialise(verified(pairs, sets, threshold))
     members = materialise(met.where("key is not null").select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct())
-    labels = later_rounds(members, links, components(links), sets, threshold)
+    labels = later_rounds(members, components(links), sets, threshold)
     named = of_node.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = materialise(named.groupBy("component").agg(F.min("id").alias("component_id")))
     resolved = materialise(named.join(smallest, "component").select("node", "component_id"))

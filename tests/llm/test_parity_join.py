@@ -66,7 +66,7 @@ def test_later_rounds_find_what_pivots_miss(spark):
     sets_df = spark.createDataFrame([(i, 200, s.tolist()) for i, s in enumerate(sets)], "node long, n long, elements array<long>")
     members = spark.createDataFrame([(7, i) for i in range(n)], "key long, node long")
     first = spark.createDataFrame([(0, 1)], "a long, b long")
-    labels = p.later_rounds(members, first, p.components(first), sets_df, (90, 100))
+    labels = p.later_rounds(members, p.components(first), sets_df, (90, 100))
     assert {(r["node"], r["component"]) for r in labels.collect()} == {(i, 0) for i in range(n)}
 
 
