@@ -17,7 +17,9 @@ size is dealt over the tasks. Sets verify each pair exactly. Then come further
 rounds in which only buckets still count whose members are in different
 components: a growing share of the members become pivots and are compared with the
 members of other components, until all other members are in one component or all
-were pivots. So no link between components can be missed.
+were pivots. Members too many of whose elements no other member has can't link and
+are left out there, and so are pairs that can't share enough. So no link between
+components can be missed.
 
 Defined cases: a document with fewer words than a shingle has them all as its only
 element; without words or text its set is empty, it links with nothing and is its
@@ -266,25 +268,52 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
+def linkable(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], passes: int = 3) -> DataFrame:
+    """key, node, n, g: the members that can link with another. g elements of a node are in other members' sets too, so that it shares no more than g with any; a link needs a share of both sets. Leaving nodes out makes others' elements unshared, hence the passes."""
+    num, den = threshold
+    nodes, before = materialise(members.select("node").distinct()), None
+    for _ in range(passes):
+        each = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("element"))
+        alone = each.groupBy("element").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+        shared = sets.select("node", "n").join(nodes, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("g"))
+        scored = materialise(shared.where(den * F.col("g") >= num * F.col("n")))
+        count = scored.count()
+        if count == before:
+            break
+        nodes, before = scored.select("node"), count
+    return members.join(scored, "node")
+
+
 def later_rounds(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The labels after comparing, in buckets (key, node) that span several components, growing shares of pivots with members of other components."""
-    share, before, bound = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)), 0, PIVOTS
-    counted = None
+    num, den = threshold
+    share = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def spanning(rows: DataFrame) -> DataFrame:
+        return materialise(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
+
+    several = spanning(labelled(members))
+    if several.isEmpty():
+        return labels
+    members = materialise(linkable(materialise(members.join(several, "key")), sets, threshold))
+    members = materialise(members.join(materialise(members.groupBy("key").agg(F.count("node").alias("size"))), "key"))
+    before, bound = 0, PIVOTS
     while True:
-        labelled = (members if counted is None else counted).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if counted is None:
-            split = materialise(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("node").alias("size")).where("low <> high").select("key", "size"))
-        else:
-            rest = labelled.where(share * F.col("size") >= before)
-            split = materialise(rest.groupBy("key", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size"))
-        if split.isEmpty():
+        now = labelled(members)
+        several = spanning(now.where(share * F.col("size") >= before))
+        if several.isEmpty():
             return labels
-        labelled = materialise(labelled.drop("size").join(split, "key"))
-        pivots = labelled.where((share * F.col("size") >= before) & (share * F.col("size") < bound)).select("key", F.col("node").alias("pivot"), F.col("component").alias("other"))
-        met = materialise(pivots).join(labelled, "key").where("other <> component")
-        pairs = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        labels = relabelled(labels, materialise(verified(materialise(pairs), sets, threshold)))
-        counted = labelled.drop("component")
+        now = materialise(now.join(several, "key"))
+        chosen = now.where((share * F.col("size") >= before) & (share * F.col("size") < bound))
+        pivots = materialise(chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("g").alias("h")))
+        enough = (num + den) * F.least("g", "h") >= num * (F.col("n") + F.col("m"))
+        met = pivots.join(now, "key").where((F.col("other") != F.col("component")) & enough)
+        pairs = materialise(met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+        labels = relabelled(labels, materialise(verified(pairs, sets, threshold)))
+        members = now.drop("component")
         before, bound = bound, bound * GROWTH
 
 
