@@ -93,17 +93,17 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def telling(column: np.ndarray, grade: np.ndarray, shares: np.ndarray, n: int, least_shift: float) -> np.ndarray:
-    """Which of ``n`` features shift a grade's share by ``least_shift`` at least, beyond chance."""
+def telling(column: np.ndarray, grade: np.ndarray, shares: np.ndarray, n: int, least_shift: float, least_chi2: float) -> np.ndarray:
+    """Which of ``n`` features shift a grade's share by ``least_shift`` at least, with a test value of ``least_chi2`` at least."""
     seen = np.stack([np.bincount(column[grade == g], minlength=n) for g in range(len(shares))], axis=1)
     total = seen.sum(axis=1, keepdims=True)
     expected = total * shares
     chi2 = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=1)
     shift = np.abs(seen / np.maximum(total, 1) - shares).max(axis=1)
-    return (total[:, 0] >= LEAST_DOCS) & (shift >= least_shift) & (chi2 >= CHI2)
+    return (total[:, 0] >= LEAST_DOCS) & (shift >= least_shift) & (chi2 >= least_chi2)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, shift: float = SHIFT) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, shift: float = SHIFT, chi2: float = CHI2) -> Model:
     """Maximum likelihood by full-batch Adam; ``rows`` are bucket numbers of each document."""
     model = Model({}, np.linspace(-4, -2, n_grades - 1))
     if not len(rows):
@@ -111,7 +111,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: in
     sizes = np.array([len(r) for r in rows])
     doc, column = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
     used, column = np.unique(column, return_inverse=True)
-    informative = telling(column, grades[doc], np.bincount(grades, minlength=n_grades) / len(rows), len(used), shift)
+    informative = telling(column, grades[doc], np.bincount(grades, minlength=n_grades) / len(rows), len(used), shift, chi2)
     doc, column, used = doc[informative[column]], (np.cumsum(informative) - 1)[column[informative[column]]], used[informative]
     n = len(rows)
     w = np.zeros(len(used))
