@@ -6,6 +6,8 @@ kept as a streaming aggregation: each micro-batch sends m numbers from each task
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,6 @@ def running_power(stream: DataFrame, by: list[str] | None = None) -> DataFrame:
     For an output mode of 'complete' or 'update'. With a watermark and a window among
     ``by`` the groups close and 'append' works as well.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def power(x: pd.Series) -> pd.Series:
         return pd.Series([np.abs(np.fft.fft(v)) ** 2 / len(v) for v in x], dtype=object)
