@@ -3,9 +3,10 @@
 A word's probability sums over all its segmentations into pieces of an existing
 vocabulary: a forward recursion in log space over the lattice of pieces gives it.
 The vocabulary's own order gives first piece scores (a piece's probability falls
-with its rank); one expectation step over the counts of all training words, by the
-same forward recursion and its backward counterpart, fits them to the corpus. The
-lattice also has an arc for each word that the training documents have, with the
+with its rank); ``STEPS`` expectation steps over all distinct training words, by the
+same forward recursion and its backward counterpart, fit them to the corpus. Each
+distinct word counts once there, since new words are what the pieces must explain.
+The lattice also has an arc for each word that the training documents have, with the
 word's discounted share of their tokens, and the discounts' mass goes to the
 pieces. So the model is
 
@@ -39,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import LOWER, fresh, materialise, mixed
+from signalframe.llm.common import LOWER, materialise, mixed
 
 FREQUENT = 200_000
 MERGED_WORDS = 300_000
 DISCOUNT = 0.6
+STEPS = 2
 FOLDS, HELD_OUT = 5, 1
 LONG_WORD = 40  # longer words take the plain recursion
 GROUP = 4096
@@ -250,24 +252,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fitted_pieces(counts: DataFrame, path: str | None) -> np.ndarray:
-    """Log probabilities of the pieces after one expectation step over all training words."""
-    size = len(pieces_at(path).pieces)
+def fitted_pieces(counts: DataFrame, path: str | None, steps: int = STEPS) -> np.ndarray:
+    """Log probabilities of the pieces after ``steps`` expectation steps over all distinct training words."""
+    logp = pieces_at(path).logp
+    size = len(logp)
+    for _ in range(steps):
+        shared = counts.sparkSession.sparkContext.broadcast(logp)
 
-    def expect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = pieces_at(path), np.zeros(size)
-        for batch in it:
-            for lo in range(0, batch.num_rows, 50_000):
-                part = batch.slice(lo, 50_000)
-                total += model.expected_counts(part.column(0).to_pylist(), part.column(1).to_numpy().astype(float))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
+        def expect(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model, total = pieces_at(path).with_logp(shared.value), np.zeros(size)
+            for batch in it:
+                for lo in range(0, batch.num_rows, 50_000):
+                    words = batch.column(0)[lo : lo + 50_000].to_pylist()
+                    total += model.expected_counts(words, np.ones(len(words)))
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
 
-    rows = counts.where("c > 0").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # as many as pieces
-    total = np.full(size, 0.01)
-    for r in rows:
-        total[r["piece"]] += r["n"]
-    return np.log(total / total.sum())
+        found = counts.where("c > 0").select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as pieces
+        total = np.full(size, 0.01)
+        total[found.column("piece").to_numpy()] += found.column("n").to_numpy()
+        logp = np.log(total / total.sum())
+    return logp
 
 
 def scored_words(counts: DataFrame, logp: np.ndarray, path: str | None, words: int, types: int, ends: int) -> DataFrame:
@@ -317,9 +322,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = rows.where(fold != HELD_OUT).count()
     n, v = words + ends, types + (ends > 0)
     scored = materialise(scored_words(counts, fitted_pieces(counts, path), path, words, types, ends))
-    top = scored.orderBy(F.desc("c"), "word").limit(frequent).collect()  # a bounded number
-    shared = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r["c"] for r in top] + [0], np.int64), np.array([r["lp"] for r in top] + [0.0])))
-    del top
+    top = scored.orderBy(F.desc("c"), "word").limit(frequent).toArrow()  # a bounded number
+    index = {w: i for i, w in enumerate(top.column("word").to_pylist())}
+    shared = spark.sparkContext.broadcast((index, np.append(top.column("c").to_numpy(), 0), np.append(top.column("lp").to_numpy(), 0.0)))
+    del top, index
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     end_base, end_score, end_known = float(base_of(ends)), end_log10(words, types, ends), int(ends > 0)
 
