@@ -61,9 +61,10 @@ def center_columns(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(mean)).select("row_id", F.zip_with("x", "mean", lambda v, c: v - c).alias("x"))
 
 
-def gram(rows: DataFrame, fourier: bool = False, by: list[str] | None = None) -> DataFrame:
-    """(by,) k, l, re, im, n: the sum over rows of conj(u_k) * u_l, u being the signal or its transform. One pass, m * m numbers from each task and group."""
+def gram(rows: DataFrame, fourier: bool = False, by: list[str] | None = None, basis: np.ndarray | None = None) -> DataFrame:
+    """(by,) k, l, re, im, n: the sum over rows of conj(u_k) * u_l, u being the signal, its transform, or its product with ``basis`` (m * m, complex). One pass, m * m numbers from each task and group."""
     by = by or []
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
     kinds = [rows.schema[b] for b in by]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], "n long, m int, re array<double>, im array<double>"])
 
@@ -74,7 +75,10 @@ def gram(rows: DataFrame, fourier: bool = False, by: list[str] | None = None) ->
                 part = batch.slice(lo, BATCH)
                 keys = list(zip(*(part.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * part.num_rows
                 x = _matrix(part.column(len(by)))
-                u = np.fft.fft(x, axis=1) / np.sqrt(max(1, x.shape[1])) if fourier else x
+                if shared.value is not None:
+                    u = x @ shared.value
+                else:
+                    u = np.fft.fft(x, axis=1) / np.sqrt(max(1, x.shape[1])) if fourier else x
                 for key in dict.fromkeys(keys):
                     mine = u if not by else u[[k == key for k in keys]]
                     g = mine.conj().T @ mine
@@ -206,13 +210,13 @@ def kappa(spectral: DataFrame, part: str = "modulus", by: list[str] | None = Non
     return sums.select(*by, divide(diagonal, diagonal + off).alias("kappa"))
 
 
-def kappa_of_signals(rows: DataFrame, method: str = "svd", normalize: bool = True) -> DataFrame:
-    """How near the covariance of signals is to a circulant matrix, from 0.5 to 1."""
+def kappa_of_signals(rows: DataFrame, method: str = "svd", normalize: bool = True, basis: np.ndarray | None = None) -> DataFrame:
+    """How near the covariance of signals is to a circulant matrix, from 0.5 to 1; with another ``basis``, how near it is to diagonal in that."""
     if method not in ("svd", "eig"):
         raise ValueError(f"method must be 'svd' or 'eig', not {method!r}")
     used = center_columns(rows) if normalize else rows
-    if method == "svd":
-        return kappa(gram(used, fourier=True))
+    if method == "svd" or basis is not None:
+        return kappa(gram(used, fourier=True, basis=basis))
     g = gram(used)
     m = len(rows.select("x").first()["x"])
     return kappa(fourier_eig(g.select(F.col("k").alias("a"), F.col("l").alias("b"), F.col("re").alias("c")), m))

@@ -43,6 +43,9 @@ def test_golden_matrix(spark):
     assert np.allclose(column(fourier.eigenspectrum(rows, 4), "k", "power"), [12.75, 1, 0.75, 1])
     assert np.allclose(column(fourier.covariance_eigenspectrum(cov, 4, 4), "k", "power"), [5.3333333333, 2])
     assert np.isclose(one(fourier.epsilon(fourier.fourier_eig(cov, 4))), 4.8888888889)
+    own = np.fft.fft(np.eye(4)) / 2
+    assert np.isclose(one(fourier.kappa_of_signals(rows, basis=own)), 0.7219643056)
+    assert np.isclose(one(fourier.kappa_of_signals(rows, basis=np.linalg.eigh(np.cov(np.array(X3).T))[1].astype(complex))), 1.0)
     with pytest.raises(ValueError, match="method"):
         fourier.kappa_of_signals(rows, method="qr")
 
