@@ -118,15 +118,32 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, per_ch
     return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(work, schema.format(kind=kind))
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """A short sketch of the whole set, 64 bits or as many as its size's next power of two."""
+    words = 1 << max(0, (len(elements) - 1).bit_length() - 6)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (elements >> np.uint64(6)) & np.uint64(words - 1), np.uint64(1) << (elements & np.uint64(63)))
+    return out
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two sketches, the longer one folded: no more than the sets' symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    words = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, words), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def document_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """id, n (set size), node and a second hash of the set; both null for empty sets."""
+    """id, n (set size), node, a second hash of the set, and its short sketch; the last three null for empty sets."""
 
     def columns(ids, sets):
         node = [node_of(s, seed) if len(s) else None for s in sets]
         check = [node_of(s, seed + 1) if len(s) else None for s in sets]
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())]
+        bits = [parity_bits(s).tobytes() if len(s) else None for s in sets]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.binary())]
 
-    return _sets(docs, id_col, text_col, k, seed, columns, "id {kind}, n long, node long, check long", ["id", "n", "node", "check"])
+    return _sets(docs, id_col, text_col, k, seed, columns, "id {kind}, n long, node long, check long, bits binary", ["id", "n", "node", "check", "bits"])
 
 
 def starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,8 +160,56 @@ def starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key, node, np.repeat(node[starts], sizes), np.repeat(sizes, sizes)
 
 
+def packed(place: np.ndarray, value: np.ndarray, node: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (value, node, flag) as one row for each place: its values, its distinct nodes, and for each value the node's number and the flag."""
+    by = np.argsort(place, kind="stable")
+    place, value, node, flag = place[by], value[by], node[by], flag[by]
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    out = []
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(place)).tolist(), strict=True):
+        nodes, number = np.unique(node[a:b], return_inverse=True)
+        out.append((int(place[a]), value[a:b].tobytes(), nodes.tobytes(), (number.astype("<u4") << 1 | flag[a:b]).astype("<u4").tobytes()))
+        if len(out) == 256:
+            yield _packed_batch(out)
+            out = []
+    if out:
+        yield _packed_batch(out)
+
+
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["place", "value", "node", "number"])
+
+
+def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(value, node, flag) of each place; rows are sorted by place."""
+    held: list[tuple[np.ndarray, ...]] = []
+    at = None
+    for batch in it:
+        for place, value, node, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place != at and held:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            at, number = place, np.frombuffer(number, "<u4")
+            held.append((np.frombuffer(value, np.int64), np.frombuffer(node, np.int64)[number >> 1], (number & 1).astype(bool)))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+PACKED = "place int, value binary, node binary, number binary"
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "place").sortWithinPartitions("place")
+
+
+def places_of(spark) -> int:
+    """How many places values are dealt to: several for each shuffle partition, which evens them out."""
+    return 8 * shuffle_partitions(spark)
+
+
 def bucket_rows(docs: DataFrame, text_col: str, k: int, seed: int, threshold: tuple[int, int]) -> DataFrame:
     """(key, pivot, node) for nodes that share a bucket with a pivot; key is null where the pair is all that the bucket has."""
+    places = places_of(docs.sparkSession)
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -154,9 +219,14 @@ def bucket_rows(docs: DataFrame, text_col: str, k: int, seed: int, threshold: tu
         def flush():
             sizes = [len(x) for x in keys]
             key, node, pivot, many = starred(np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), sizes))
-            for lo in range(0, len(key), 100_000):
-                hi = lo + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi]), pa.array(node[lo:hi]), pa.array(pivot[lo:hi]), pa.array(many[lo:hi] > 1)], ["key", "node", "pivot", "more"])
+            own = node == pivot
+            yield from packed(key[own] % places, key[own], node[own], many[own] > 1)
+            # the others of this chunk's buckets: their pivots travel as the second half of the values
+            key, node, pivot = key[~own], node[~own], pivot[~own]
+            if len(key):
+                spread = mixed(key.view(np.uint64) ^ node.view(np.uint64)) % np.uint64(places)
+                for batch in packed(spread.astype(np.int64), np.stack([key, pivot], axis=1), node, np.zeros(len(key), bool)):
+                    yield pa.RecordBatch.from_arrays([pa.array(-1 - batch.column(0).to_numpy(), pa.int32()), *batch.columns[1:]], batch.schema.names)
 
         for batch in it:
             for lo in range(0, batch.num_rows, 512):
@@ -176,42 +246,33 @@ def bucket_rows(docs: DataFrame, text_col: str, k: int, seed: int, threshold: tu
         if held:
             yield from flush()
 
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-
-        def stars(key, node, more):
-            several = np.zeros(len(key), bool)
-            if len(key):
-                first = np.ones(len(key), bool)
-                first[1:] = key[1:] != key[:-1]
-                starts = np.flatnonzero(first)
-                several = np.repeat(np.logical_or.reduceat(more, starts), np.diff(np.append(starts, len(key))))
-            by = {True: several, False: ~several}
-            for kept, rows in by.items():
-                found, other, pivot, many = starred(key[rows], node[rows])
-                use = (other != pivot) & (many > 1)
-                found, other, pivot, many = found[use], other[use], pivot[use], many[use]
-                only = (many == 2) & (not kept)
-                pairs = np.unique(np.stack([pivot[only], other[only]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], ["key", "pivot", "node"])
-                yield pa.RecordBatch.from_arrays([pa.array(x[~only]) for x in (found, pivot, other)], ["key", "pivot", "node"])
-
-        for batch in it:
-            key, node, pivot, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            own = node == pivot
-            if not own.all():
-                yield pa.RecordBatch.from_arrays([pa.array(x[~own]) for x in (key, pivot, node)], ["key", "pivot", "node"])
-            key, node, more = (np.concatenate([a, b[own]]) for a, b in zip(left, (key, node, more), strict=True))
-            if len(key):
-                over = int(np.searchsorted(key, key[-1], "left"))
-                yield from stars(key[:over], node[:over], more[:over])
-                left = [key[over:], node[over:], more[over:]]
-        yield from stars(*left)
+    names = ["key", "pivot", "node"]
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(local, "key long, node long, pivot long, more boolean")
-    route = F.when(F.col("node") == F.col("pivot"), F.col("key")).otherwise(F.xxhash64("key", "node"))
-    dealt = rows.withColumn("route", route).repartition(shuffle_partitions(docs.sparkSession), "route").drop("route")
-    return dealt.sortWithinPartitions("key").mapInArrow(meet, "key long, pivot long, node long")
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(batches):
+            for batch in batches:
+                inner = batch.column(0).to_numpy() < 0
+                for i in np.flatnonzero(inner).tolist():
+                    pairs = np.frombuffer(batch.column(1)[i].as_py(), np.int64).reshape(-1, 2)
+                    node = np.frombuffer(batch.column(2)[i].as_py(), np.int64)[np.frombuffer(batch.column(3)[i].as_py(), "<u4") >> 1]
+                    ready.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0].copy(), pairs[:, 1].copy(), node)], names))
+                yield batch.filter(pa.array(~inner))
+
+        ready: list[pa.RecordBatch] = []
+        for key, node, more in unpacked(met(it)):
+            yield from ready
+            ready.clear()
+            lone, other, pivot, many = starred(key, node)
+            several = np.isin(lone, np.unique(key[more]))
+            use = (other != pivot) & (many > 1)
+            key, other, pivot, only = lone[use], other[use], pivot[use], ((many == 2) & ~several)[use]
+            pairs = np.unique(np.stack([pivot[only], other[only]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~only]) for x in (key, pivot, other)], names)
+        yield from ready
+
+    rows = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(local, PACKED)
+    return dealt(rows).mapInArrow(meet, "key long, pivot long, node long")
 
 
 def limited(df: DataFrame, most: int = BROADCAST_NODES) -> DataFrame:
@@ -219,25 +280,77 @@ def limited(df: DataFrame, most: int = BROADCAST_NODES) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def node_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """node, n and elements of the nodes in ``reps`` (node, id)."""
+def documents_of(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, id_col: str) -> DataFrame:
+    """The documents with the ids that stand for ``nodes``."""
+    ids = materialise(of_node.join(limited(nodes), "node", "left_semi").select(F.col("id").alias(id_col)).distinct())
+    return docs.join(limited(ids), id_col, "left_semi")
 
-    def columns(ids, sets):
-        return [pa.array([node_of(s, seed) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
-    ids = materialise(reps.select(F.col("id").alias(id_col)).distinct())
-    needed = docs.join(limited(ids), id_col, "left_semi")
-    sets = _sets(needed, id_col, text_col, k, seed, columns, "node long, n long, elements array<long>", ["node", "n", "elements"])
-    return materialise(sets.join(limited(materialise(reps.select("node"))), "node", "left_semi").dropDuplicates(["node"]))
+def shared_elements(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
+    """node, n and g of ``nodes``: how many elements a set has, and how many of them other nodes' sets have too."""
+    places = places_of(docs.sparkSession)
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo in range(0, batch.num_rows, 512):
+                sets = [shingle_hashes(t, k, seed) for t in batch.column(0)[lo : lo + 512].to_pylist()]
+                element = np.concatenate([np.zeros(0, np.uint64), *sets])
+                node = np.repeat(np.array([node_of(s, seed) for s in sets], np.int64), [len(s) for s in sets])
+                yield from packed((element % np.uint64(places)).astype(np.int64), element.view(np.int64), node, np.zeros(len(node), bool))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for element, node, _ in unpacked(it):
+            _, other, _, many = starred(element, node)
+            found, number = np.unique(other, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(number, minlength=len(found))), pa.array(np.bincount(number, many > 1, minlength=len(found)).astype(np.int64))], ["node", "n", "g"])
+
+    texts = documents_of(docs, nodes, of_node, id_col).select(F.col(text_col).cast("binary").alias("__text"))
+    counted = dealt(texts.mapInArrow(spread, PACKED)).mapInArrow(count, "node long, n long, g long")
+    return materialise(counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).join(limited(nodes), "node", "left_semi"))
+
+
+def near_pairs(pairs: DataFrame, of_node: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out, with their sizes."""
+    num, den = threshold
+    a, b = (of_node.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+
+    def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num) // (den + num)
+            apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(apart <= most))
+
+    met = pairs.join(a, "a").join(b, "b").where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
+    return met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, "a long, b long, n_a long, n_b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(docs: DataFrame, pairs: DataFrame, of_node: DataFrame, id_col: str, text_col: str, k: int, seed: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets link: by sizes and sketches first, then by the sets of those that are left (48 bits of each element)."""
     num, den = threshold
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("elements").alias(f"set_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), both.alias("both"))
-    return met.where(den * F.col("both") >= num * (F.col("sum") - F.col("both"))).select("a", "b")
+    near = materialise(near_pairs(pairs, of_node, threshold))
+    nodes = materialise(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    def columns(_, sets):
+        return [pa.array([node_of(s, seed) if len(s) else None for s in sets], pa.int64()), pa.array([s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets], pa.binary())]
+
+    sets = materialise(_sets(documents_of(docs, nodes, of_node, id_col), id_col, text_col, k, seed, columns, "node long, elements binary", ["node", "elements"]).join(limited(nodes), "node", "left_semi"))
+    if sets.count() > nodes.count():  # an id stood for two texts
+        sets = sets.dropDuplicates(["node"])
+
+    def whole(packed_set: bytes) -> np.ndarray:
+        out = np.zeros((len(packed_set) // 6, 8), np.uint8)
+        out[:, 2:] = np.frombuffer(packed_set, np.uint8).reshape(-1, 6)
+        return out.view(np.uint64)[:, 0]
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            both = np.array([len(np.intersect1d(whole(x), whole(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            union = batch.column(2).to_numpy() + batch.column(3).to_numpy() - both
+            yield batch.select([0, 1]).filter(pa.array(den * both >= num * union))
+
+    a, b = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
+    met = near.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+    return materialise(met.mapInArrow(compare, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,24 +381,8 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
-def linkable(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], passes: int = 3) -> DataFrame:
-    """key, node, n, g: the members that can link with another. g elements of a node are in other members' sets too, so that it shares no more than g with any; a link needs a share of both sets. Leaving nodes out makes others' elements unshared, hence the passes."""
-    num, den = threshold
-    nodes, before = materialise(members.select("node").distinct()), None
-    for _ in range(passes):
-        each = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("element"))
-        alone = each.groupBy("element").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-        shared = sets.select("node", "n").join(nodes, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("g"))
-        scored = materialise(shared.where(den * F.col("g") >= num * F.col("n")))
-        count = scored.count()
-        if count == before:
-            break
-        nodes, before = scored.select("node"), count
-    return members.join(scored, "node")
-
-
-def later_rounds(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The labels after comparing, in buckets (key, node) that span several components, growing shares of pivots with members of other components."""
+def later_rounds(members: DataFrame, labels: DataFrame, threshold: tuple[int, int], shared, verify) -> DataFrame:
+    """The labels after comparing, in buckets (key, node) that span several components, growing shares of pivots with members of other components. ``shared(nodes)`` gives node, n and g as ``shared_elements`` does, ``verify(pairs)`` the pairs that link."""
     num, den = threshold
     share = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)
 
@@ -298,7 +395,9 @@ def later_rounds(members: DataFrame, labels: DataFrame, sets: DataFrame, thresho
     several = spanning(labelled(members))
     if several.isEmpty():
         return labels
-    members = materialise(linkable(materialise(members.join(several, "key")), sets, threshold))
+    members = materialise(members.join(several, "key"))
+    counted = shared(materialise(members.select("node").distinct()))
+    members = materialise(members.join(counted.where(den * F.col("g") >= num * F.col("n")), "node"))
     members = materialise(members.join(materialise(members.groupBy("key").agg(F.count("node").alias("size"))), "key"))
     before, bound = 0, PIVOTS
     while True:
@@ -312,7 +411,7 @@ def later_rounds(members: DataFrame, labels: DataFrame, sets: DataFrame, thresho
         enough = (num + den) * F.least("g", "h") >= num * (F.col("n") + F.col("m"))
         met = pivots.join(now, "key").where((F.col("other") != F.col("component")) & enough)
         pairs = materialise(met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-        labels = relabelled(labels, materialise(verified(pairs, sets, threshold)))
+        labels = relabelled(labels, verify(pairs))
         members = now.drop("component")
         before, bound = bound, bound * GROWTH
 
@@ -322,21 +421,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seed = 0
     while True:
         nodes = materialise(document_nodes(docs, id_col, text_col, k, seed))
-        of_node = materialise(nodes.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high")))
+        known = nodes.where("id is not null and node is not null")
+        of_node = materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("low"), F.max("check").alias("high")))
         if of_node.where("low <> high").isEmpty():
             break
         seed += 2  # two sets had one hash: with another seed they don't
     met = materialise(bucket_rows(docs.where(F.col(id_col).isNotNull()), text_col, k, seed, threshold))
     pairs = materialise(met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = node_sets(docs, of_node.join(wanted, "node").select("node", "id"), id_col, text_col, k, seed)
-    links = materialise(verified(pairs, sets, threshold))
+    place = (id_col, text_col, k, seed)
+
+    def shared(nodes: DataFrame) -> DataFrame:
+        return shared_elements(docs, nodes, of_node, *place)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(docs, pairs, of_node, *place, threshold)
+
     members = materialise(met.where("key is not null").select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct())
-    labels = later_rounds(members, components(links), sets, threshold)
+    labels = later_rounds(members, components(verify(pairs)), threshold, shared, verify)
     named = of_node.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = materialise(named.groupBy("component").agg(F.min("id").alias("component_id")))
     resolved = materialise(named.join(smallest, "component").select("node", "component_id"))
-    out = nodes.join(resolved, "node", "left")
+    out = nodes.select("id", "n", "node").join(resolved, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 

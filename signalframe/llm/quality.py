@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from signalframe.llm.common import fresh
 from signalframe.llm.decontamination import words_of
 
-BUCKETS = 1 << 22
-SAMPLE = 12_000
+BUCKETS = 1 << 21
+SAMPLE = 10_000
 LEAST_DOCS = 4  # features of fewer sampled documents get no weight
 SHIFT, CHI2 = 0.3, 20.0  # how far a grade's share must differ where a feature is, and the least test value
 STEPS, RATE, PENALTY = 200, 0.1, 3e-5
@@ -93,27 +93,25 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def telling(column: np.ndarray, grade: np.ndarray, shares: np.ndarray, n: int, least_shift: float, least_chi2: float) -> np.ndarray:
-    """Which of ``n`` features shift a grade's share by ``least_shift`` at least, with a test value of ``least_chi2`` at least."""
-    seen = np.stack([np.bincount(column[grade == g], minlength=n) for g in range(len(shares))], axis=1)
-    total = seen.sum(axis=1, keepdims=True)
-    expected = total * shares
-    chi2 = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=1)
-    shift = np.abs(seen / np.maximum(total, 1) - shares).max(axis=1)
-    return (total[:, 0] >= LEAST_DOCS) & (shift >= least_shift) & (chi2 >= least_chi2)
+def telling(column: np.ndarray, grade: np.ndarray, shares: np.ndarray, least_shift: float, least_chi2: float) -> np.ndarray:
+    """The buckets that shift a grade's share by ``least_shift`` at least, with a test value of ``least_chi2`` at least."""
+    seen = [np.bincount(column[grade == g], minlength=BUCKETS).astype(np.float32) for g in range(len(shares))]
+    total = sum(seen)
+    expected = [np.maximum(total * np.float32(s), np.float32(1e-9)) for s in shares]
+    chi2 = sum((o - e) ** 2 / e for o, e in zip(seen, expected, strict=True))
+    shift = np.max([np.abs(o - e) for o, e in zip(seen, expected, strict=True)], axis=0) / np.maximum(total, 1)
+    return (total >= LEAST_DOCS) & (shift >= least_shift) & (chi2 >= least_chi2)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, shift: float = SHIFT, chi2: float = CHI2) -> Model:
-    """Maximum likelihood by full-batch Adam; ``rows`` are bucket numbers of each document."""
+def fit(sizes: np.ndarray, column: np.ndarray, grades: np.ndarray, n_grades: int = 3, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, shift: float = SHIFT, chi2: float = CHI2) -> Model:
+    """Maximum likelihood by full-batch Adam; ``column`` has the buckets of each document, one document after another, ``sizes`` of them."""
     model = Model({}, np.linspace(-4, -2, n_grades - 1))
-    if not len(rows):
+    if not len(sizes):
         return model
-    sizes = np.array([len(r) for r in rows])
-    doc, column = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
-    used, column = np.unique(column, return_inverse=True)
-    informative = telling(column, grades[doc], np.bincount(grades, minlength=n_grades) / len(rows), len(used), shift, chi2)
-    doc, column, used = doc[informative[column]], (np.cumsum(informative) - 1)[column[informative[column]]], used[informative]
-    n = len(rows)
+    useful = telling(column, np.repeat(grades.astype(np.int8), sizes), np.bincount(grades, minlength=n_grades) / len(grades), shift, chi2)[column]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[useful]
+    used, column = np.unique(column[useful], return_inverse=True)
+    n = len(sizes)
     w = np.zeros(len(used))
     free = np.concatenate([[-3.0], np.zeros(n_grades - 2)])  # the first threshold and the logs of the gaps
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(free), np.zeros_like(free)]
@@ -155,9 +153,10 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "columns"])
 
     joined = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(chosen), id_col).select(F.col("grade").cast("int"), "__text")
-    got = joined.mapInArrow(rows, "grade int, columns array<int>").toPandas()
+    got = joined.mapInArrow(rows, "grade int, columns array<int>").toArrow()
     chosen.unpersist()
-    return fit([np.asarray(c, np.int64) for c in got["columns"]], got["grade"].to_numpy(np.int64), n_grades)
+    columns = got.column("columns").combine_chunks()
+    return fit(columns.value_lengths().to_numpy(), columns.flatten().to_numpy(), got.column("grade").to_numpy(), n_grades)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", good: int = GOOD, sure: float = SURE) -> tuple[DataFrame, str]:

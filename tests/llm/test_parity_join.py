@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signalframe.llm import parity_join as p
 
@@ -66,7 +67,15 @@ def test_later_rounds_find_what_pivots_miss(spark):
     sets_df = spark.createDataFrame([(i, 200, s.tolist()) for i, s in enumerate(sets)], "node long, n long, elements array<long>")
     members = spark.createDataFrame([(7, i) for i in range(n)], "key long, node long")
     first = spark.createDataFrame([(0, 1)], "a long, b long")
-    labels = p.later_rounds(members, p.components(first), sets_df, (90, 100))
+
+    def verify(pairs):
+        a, b = (sets_df.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("set_a", "set_b")) >= 190).select("a", "b")
+
+    def shared(nodes):
+        return sets_df.join(nodes, "node").select("node", "n", F.when(F.col("node").isin(0, n - 1), 190).otherwise(200).alias("g"))
+
+    labels = p.later_rounds(members, p.components(first), (90, 100), shared, verify)
     assert {(r["node"], r["component"]) for r in labels.collect()} == {(i, 0) for i in range(n)}
 
 
@@ -83,6 +92,13 @@ def test_every_link_shares_a_bucket():
                 assert set(p.bucket_keys(whole, (90, 100)).tolist()) & set(p.bucket_keys(other, (90, 100)).tolist())
 
 
+def test_sketches_bound_the_symmetric_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 300, rng.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        assert p.sketch_distance(p.parity_bits(x).tobytes(), p.parity_bits(y).tobytes()) <= len(np.setxor1d(x, y))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (101, 90)]
     got = p.components(spark.createDataFrame(edges, "a long, b long"))

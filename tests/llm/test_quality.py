@@ -33,7 +33,7 @@ def test_gradient_step_lowers_loss():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 8)) for _ in range(200)]
     grades = np.array([int((r < 8).sum() > 1) + int((r < 8).sum() > 2) for r in rows])
-    model = q.fit(rows, grades, shift=0.0, chi2=0.0)  # every feature says a little here
+    model = q.fit(np.array([len(r) for r in rows]), np.concatenate(rows), grades, shift=0.0, chi2=0.0)  # every feature says a little here
     scores = np.array([sum(model.weights.get(b, 0) for b in r.tolist()) for r in rows])
     assert model.thresholds[0] < model.thresholds[1]
     assert np.corrcoef(scores, grades)[0, 1] > 0.7
