@@ -65,7 +65,7 @@ def z_score(x: Column) -> Column:
 
 
 def diagonal_count(t: Column, n: Column, length: Column | int, compat: bool = False) -> Column:
-    """How many cells of the trajectory matrix of a series of n values, windows of ``length``, lie on anti-diagonal t; ``compat`` follows the reference's own formula, which is lower where n < 3 * length - 2."""
+    """How many cells of the trajectory matrix of a series of n values, windows of ``length``, lie on anti-diagonal t; ``compat`` follows the original's own formula, which is lower where n < 3 * length - 2."""
     length = length if isinstance(length, Column) else F.lit(length)
     rows = n - length + 1
     middle = F.least(rows - length + 1, length) if compat else F.least(rows, length)
