@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "matrix_trace": f"{cov} SELECT {r('sum(c)', 8, 'trace')} FROM cov WHERE a = b",
         "hankel_embed": f"WITH {SERIES}, {HANKEL} SELECT signal_id, i, j, {r('x', 6, 'x')} FROM h",
         "hankel_average": f"WITH {SERIES} SELECT signal_id, t, {r('x', 6, 'y')} FROM s",
-        "lag_covariance": f"WITH {SERIES}, {HANKEL} SELECT p.signal_id, p.j AS i, q.j AS j, {r('sum(p.x * q.x)', 2, 'c')} FROM h p JOIN h q USING (signal_id, i) GROUP BY ALL",
+        "lag_covariance": f"WITH {SERIES}, {HANKEL} SELECT p.signal_id, p.j AS i, q.j AS j, {r('sum(p.x * q.x)', 4, 'c')} FROM h p JOIN h q USING (signal_id, i) GROUP BY ALL",
         "diagonal_counts": f"WITH {SERIES} {counts.format(middle='n - 49, 50')}",
         "diagonal_counts_compat": f"WITH {SERIES} {counts.format(middle='n - 98, 50')}",
         "ssa_reconstruct_all": f"WITH {SERIES} SELECT signal_id, t, {r('x', 4, 'y')} FROM s",

@@ -284,7 +284,7 @@ def hankel_average(spark, sf_dir):
 
 @query
 def lag_covariance(spark, sf_dir):
-    return digits(longs(ssa.lag_covariance(binned_events(spark, sf_dir), WINDOW), "i", "j"), c=2)
+    return digits(longs(ssa.lag_covariance(binned_events(spark, sf_dir), WINDOW), "i", "j"), c=4)
 
 
 @query
