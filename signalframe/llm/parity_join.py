@@ -10,21 +10,28 @@ less than the ratio of neighbouring bands, so a document stands in its own and i
 the next band. Parts of fewer than two set bits say little: a document that has at
 most R of those leaves them out, which still leaves one agreeing part of every link.
 
-Equal sets are one node from the start. Buckets are never expanded into all pairs.
-A bucket's nodes are compared with a pivot: first within the chunk of documents
-that a task holds, then the chunks' pivots with each other, so that a bucket of any
-size is dealt over the tasks. Sets verify each pair exactly. Then come further
-rounds in which only buckets still count whose members are in different
-components: a growing share of the members become pivots and are compared with the
-members of other components, until all other members are in one component or all
-were pivots. Members too many of whose elements no other member has can't link and
-are left out there, and so are pairs that can't share enough. So no link between
+Equal sets are one node from the start, and a node's set is written once. Elements
+that only one node has can't be in an intersection: they are counted (u) and left
+out of sketches, which makes R greater by u and D less by u for each of two nodes.
+Nodes that have too many of them link with nothing and are left out.
+
+Buckets are never expanded into all pairs. Each has a pivot, the member with the
+least share of elements of its own; members are compared with it, by 256-bit
+sketches first, then by their sets, and links make components. Buckets whose members
+are still in several components go on. Those of at most ``SMALL`` members compare
+the sketches of members of different components inside the task, and emit only near
+pairs. A larger one is dealt anew by how its members differ from what most of them have: two
+members that link share one of the first D + 1 elements of their differences, or
+differ so little that the one with the least difference links with both
+(``difference_entries``), so (pivot, element) are the buckets of the next round. The
+pivot is in none of these, so buckets shrink until none is large. No link between
 components can be missed.
 
 Defined cases: a document with fewer words than a shingle has them all as its only
 element; without words or text its set is empty, it links with nothing and is its
 own component; a row without id has no component; rows that repeat an id count
-each; an empty table gives an empty result.
+each; an empty table gives an empty result; other columns, whatever their names, are
+not read, and ``representatives`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -44,8 +51,10 @@ SHINGLE = 3
 THRESHOLD = (90, 100)
 SPARE = 2  # R
 CHUNK_ROWS = 400_000
-BROADCAST_NODES = 2_000_000  # 16 MB of ids
-PIVOTS, GROWTH = 4, 8
+BROADCAST_BYTES = 16_000_000
+SMALL = 1000
+FEW_LINKS = 500_000  # 8 MB
+WORDS = 4  # of a short sketch
 
 _words = WordHashes()
 
@@ -79,24 +88,24 @@ def part_borders(parts: int) -> np.ndarray:
     return np.array([-(-(p << 32) // parts) << 32 for p in range(1, parts)], np.uint64)
 
 
-def bucket_keys(elements: np.ndarray, threshold: tuple[int, int], spare: int = SPARE) -> np.ndarray:
-    """The buckets in which a set stands: hashes of band, part and the part's parity bits."""
+def bucket_keys(elements: np.ndarray, threshold: tuple[int, int], own: int = 0, spare: int = SPARE) -> np.ndarray:
+    """The buckets in which a set stands that has ``own`` elements more, which no other has: hashes of band, part and the part's parity bits."""
     num, den = threshold
-    most = 1 << max(10, len(elements).bit_length() + 1)
-    limits = band_limits(threshold, most)
-    own = int(np.searchsorted(limits, len(elements), "right")) - 1
+    size = len(elements) + own
+    limits = band_limits(threshold, 1 << max(10, size.bit_length() + 1))
+    at = int(np.searchsorted(limits, size, "right")) - 1
     flips = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (elements & np.uint64(63)))])
     out = []
-    for band in (own, own + 1):
+    for band in (at, at + 1):
         differ = 2 * (int(limits[band + 1]) - 1) * (den - num) // (den + num)
-        if not differ:  # only equal sets link
+        if differ < max(1, own):  # only equal sets link, or none
             continue
         parts = differ + 1 + spare
         ends = np.concatenate([[0], np.searchsorted(elements, part_borders(parts)), [len(elements)]])
         sketch = flips[ends[1:]] ^ flips[ends[:-1]]
         weak = (sketch & (sketch - np.uint64(1))) == 0
         keys = mixed(sketch ^ mixed(np.uint64(band << 32) + np.arange(parts, dtype=np.uint64)))
-        out.append(keys[~weak] if weak.sum() <= spare else keys)
+        out.append(keys[~weak] if weak.sum() <= spare + own else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -104,67 +113,55 @@ def node_of(elements: np.ndarray, seed: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes(), seed)).astype(np.int64))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, per_chunk, schema: str, names: list[str]) -> DataFrame:
-    """``per_chunk(ids, sets)`` gives the columns for the documents of each slice."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = [shingle_hashes(t, k, seed) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(per_chunk(part.column(0), sets), names)
-
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(work, schema.format(kind=kind))
-
-
-def parity_bits(elements: np.ndarray) -> np.ndarray:
-    """A short sketch of the whole set, 64 bits or as many as its size's next power of two."""
-    words = 1 << max(0, (len(elements) - 1).bit_length() - 6)
-    out = np.zeros(words, np.uint64)
-    np.bitwise_xor.at(out, (elements >> np.uint64(6)) & np.uint64(words - 1), np.uint64(1) << (elements & np.uint64(63)))
+def short_sketch(elements: np.ndarray) -> np.ndarray:
+    """The parity bits of a whole set in 256 bits."""
+    out = np.zeros(WORDS, np.uint64)
+    np.bitwise_xor.at(out, (elements >> np.uint64(6)) & np.uint64(WORDS - 1), np.uint64(1) << (elements & np.uint64(63)))
     return out
 
 
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """The Hamming distance of two sketches, the longer one folded: no more than the sets' symmetric difference."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    words = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, words), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+def as_array(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint64)
 
 
 def document_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """id, n (set size), node, a second hash of the set, and its short sketch; the last three null for empty sets."""
+    """row (its number), id, n (set size), node, a second hash of the set and its elements; the last three null for empty sets."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def columns(ids, sets):
-        node = [node_of(s, seed) if len(s) else None for s in sets]
-        check = [node_of(s, seed + 1) if len(s) else None for s in sets]
-        bits = [parity_bits(s).tobytes() if len(s) else None for s in sets]
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.binary())]
+        row = TaskContext.get().partitionId() << 36
+        for batch in it:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = [shingle_hashes(t, k, seed) for t in part.column(1).to_pylist()]
+                columns = [pa.array([f(s) if len(s) else None for s in sets], kind) for f, kind in ((lambda s: node_of(s, seed), pa.int64()), (lambda s: node_of(s, seed + 1), pa.int64()), (np.ndarray.tobytes, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sets))), part.column(0), pa.array([len(s) for s in sets], pa.int64()), *columns], ["row", "id", "n", "node", "check", "elements"])
+                row += len(sets)
 
-    return _sets(docs, id_col, text_col, k, seed, columns, "id {kind}, n long, node long, check long, bits binary", ["id", "n", "node", "check", "bits"])
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(work, f"row long, id {kind}, n long, node long, check long, elements binary")
 
 
-def starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, node) in order, the smallest node of each key beside it, and whether a key has several."""
+def starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order, and how many nodes the key has."""
     by = np.lexsort((node, key))
     key, node = key[by], node[by]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node = key[new], node[new]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    starts = np.flatnonzero(first)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     sizes = np.diff(np.append(starts, len(key)))
-    return key, node, np.repeat(node[starts], sizes), np.repeat(sizes, sizes)
+    return key, node, np.repeat(sizes, sizes)
 
 
 def packed(place: np.ndarray, value: np.ndarray, node: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (value, node, flag) as one row for each place: its values, its distinct nodes, and for each value the node's number and the flag."""
+    if not len(place):
+        return
     by = np.argsort(place, kind="stable")
     place, value, node, flag = place[by], value[by], node[by], flag[by]
-    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
     out = []
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(place)).tolist(), strict=True):
         nodes, number = np.unique(node[a:b], return_inverse=True)
@@ -180,181 +177,182 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["place", "value", "node", "number"])
 
 
-def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(value, node, flag) of each place; rows are sorted by place."""
-    held: list[tuple[np.ndarray, ...]] = []
-    at = None
-    for batch in it:
-        for place, value, node, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if place != at and held:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
-            at, number = place, np.frombuffer(number, "<u4")
-            held.append((np.frombuffer(value, np.int64), np.frombuffer(node, np.int64)[number >> 1], (number & 1).astype(bool)))
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def opened(value: bytes, node: bytes, number: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number = np.frombuffer(number, "<u4")
+    return as_array(value), np.frombuffer(node, np.int64)[number >> 1], (number & 1).astype(bool)
 
 
 PACKED = "place int, value binary, node binary, number binary"
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "place").sortWithinPartitions("place")
+def shared_elements(sets: DataFrame, whole: bool) -> DataFrame:
+    """Rows (node, g, elements): g elements of a node that other nodes of ``sets`` (node, elements) have too, and (``whole``) which. A node has several rows, an element is in one.
 
+    A task that holds several nodes with an element knows it is shared, and sends it
+    on once, so an element that all documents have is no large group anywhere.
+    """
+    places = 8 * shuffle_partitions(sets.sparkSession)
 
-def places_of(spark) -> int:
-    """How many places values are dealt to: several for each shuffle partition, which evens them out."""
-    return 8 * shuffle_partitions(spark)
+    def by_node(node: np.ndarray, element: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(node, kind="stable")
+        node, element = node[by], np.ascontiguousarray(element[by])
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+        ends = np.append(starts, len(node)).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * 8), pa.py_buffer(element)]) if whole else pa.nulls(len(starts), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(np.diff(ends).astype(np.int64)), lists], ["node", "g", "elements"])
 
-
-def bucket_rows(docs: DataFrame, text_col: str, k: int, seed: int, threshold: tuple[int, int]) -> DataFrame:
-    """(key, pivot, node) for nodes that share a bucket with a pivot; key is null where the pair is all that the bucket has."""
-    places = places_of(docs.sparkSession)
-
-    def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        nodes: list[int] = []
-        held, seen = 0, set()
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
 
         def flush():
-            sizes = [len(x) for x in keys]
-            key, node, pivot, many = starred(np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), sizes))
-            own = node == pivot
-            yield from packed(key[own] % places, key[own], node[own], many[own] > 1)
-            # the others of this chunk's buckets: their pivots travel as the second half of the values
-            key, node, pivot = key[~own], node[~own], pivot[~own]
-            if len(key):
-                spread = mixed(key.view(np.uint64) ^ node.view(np.uint64)) % np.uint64(places)
-                for batch in packed(spread.astype(np.int64), np.stack([key, pivot], axis=1), node, np.zeros(len(key), bool)):
-                    yield pa.RecordBatch.from_arrays([pa.array(-1 - batch.column(0).to_numpy(), pa.int32()), *batch.columns[1:]], batch.schema.names)
+            element, node, many = starred(np.concatenate([s for _, s in held]), np.repeat(np.array([n for n, _ in held], np.int64), [len(s) for _, s in held]))
+            first = np.append(True, element[1:] != element[:-1])
+            yield from packed((element[first] % np.uint64(places)).astype(np.int64), element[first], np.where(many[first] > 1, 0, node[first]), many[first] > 1)
+            known = many > 1  # these need no meeting
+            spread_over = mixed(node[known].view(np.uint64)) % np.uint64(places)
+            yield from packed(-1 - spread_over.astype(np.int64), element[known], node[known], known[known])
 
         for batch in it:
-            for lo in range(0, batch.num_rows, 512):
-                for text in batch.column(0)[lo : lo + 512].to_pylist():
-                    elements = shingle_hashes(text, k, seed)
-                    if not len(elements) or (node := node_of(elements, seed)) in seen:
-                        continue
-                    found = bucket_keys(elements, threshold)
-                    if len(found):
-                        seen.add(node)
-                        keys.append(found)
-                        nodes.append(node)
-                        held += len(found)
-                if held >= CHUNK_ROWS:
+            for node, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((node, as_array(elements)))
+                size += len(held[-1][1])
+                if size >= CHUNK_ROWS:
                     yield from flush()
-                    keys, nodes, held, seen = [], [], 0, set()
+                    held, size = [], 0
         if held:
             yield from flush()
 
-    names = ["key", "pivot", "node"]
-
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met(batches):
-            for batch in batches:
-                inner = batch.column(0).to_numpy() < 0
-                for i in np.flatnonzero(inner).tolist():
-                    pairs = np.frombuffer(batch.column(1)[i].as_py(), np.int64).reshape(-1, 2)
-                    node = np.frombuffer(batch.column(2)[i].as_py(), np.int64)[np.frombuffer(batch.column(3)[i].as_py(), "<u4") >> 1]
-                    ready.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0].copy(), pairs[:, 1].copy(), node)], names))
-                yield batch.filter(pa.array(~inner))
-
-        ready: list[pa.RecordBatch] = []
-        for key, node, more in unpacked(met(it)):
-            yield from ready
-            ready.clear()
-            lone, other, pivot, many = starred(key, node)
-            several = np.isin(lone, np.unique(key[more]))
-            use = (other != pivot) & (many > 1)
-            key, other, pivot, only = lone[use], other[use], pivot[use], ((many == 2) & ~several)[use]
-            pairs = np.unique(np.stack([pivot[only], other[only]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
-            yield pa.RecordBatch.from_arrays([pa.array(x[~only]) for x in (key, pivot, other)], names)
-        yield from ready
-
-    rows = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(local, PACKED)
-    return dealt(rows).mapInArrow(meet, "key long, pivot long, node long")
-
+    def met(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        element, node, many = (np.concatenate(x) for x in zip(*rows, strict=True))
+        shared = np.unique(element[many])
+        alone = ~many
+        element, node, several = starred(element[alone], node[alone])
+        use = (several > 1) | np.isin(element, shared)
+        return by_node(node[use], element[use])
 
-def limited(df: DataFrame, most: int = BROADCAST_NODES) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has no more than ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        at = None
+        for batch in it:
+            for place, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place < 0:
+                    element, node, _ = opened(*row)
+                    yield by_node(node, element)
+                    continue
+                if place != at and held:
+                    yield met(held)
+                    held = []
+                at = place
+                held.append(opened(*row))
+        if held:
+            yield met(held)
 
+    rows = sets.select("node", "elements").mapInArrow(spread, PACKED).repartition(shuffle_partitions(sets.sparkSession), "place").sortWithinPartitions("place")
+    return rows.mapInArrow(count, "node long, g long, elements binary")
 
-def documents_of(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, id_col: str) -> DataFrame:
-    """The documents with the ids that stand for ``nodes``."""
-    ids = materialise(of_node.join(limited(nodes), "node", "left_semi").select(F.col("id").alias(id_col)).distinct())
-    return docs.join(limited(ids), id_col, "left_semi")
 
+def limited(df: DataFrame) -> DataFrame:
+    """``df``, a written table of numbers, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST_BYTES else df
 
-def shared_elements(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """node, n and g of ``nodes``: how many elements a set has, and how many of them other nodes' sets have too."""
-    places = places_of(docs.sparkSession)
 
-    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linkable(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of the distinct ``sets`` (node, n, elements) those that can link: node, n, u (elements of its own), the other elements and their short sketch."""
+    num, den = threshold
+    enough = den * F.col("g") >= num * F.col("n")
+    size = sets.select("node", "n")
+    counted = shared_elements(sets, False).groupBy("node").agg(F.sum("g").alias("g"))
+    able = materialise(counted.join(size, "node").where(enough).select("node"))
+    found = shared_elements(sets.join(limited(able), "node", "left_semi"), True)
+    found = found.groupBy("node").agg(F.sum("g").alias("g"), F.collect_list("elements").alias("lists")).join(size, "node").where(enough)
+
+    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo in range(0, batch.num_rows, 512):
-                sets = [shingle_hashes(t, k, seed) for t in batch.column(0)[lo : lo + 512].to_pylist()]
-                element = np.concatenate([np.zeros(0, np.uint64), *sets])
-                node = np.repeat(np.array([node_of(s, seed) for s in sets], np.int64), [len(s) for s in sets])
-                yield from packed((element % np.uint64(places)).astype(np.int64), element.view(np.int64), node, np.zeros(len(node), bool))
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for element, node, _ in unpacked(it):
-            _, other, _, many = starred(element, node)
-            found, number = np.unique(other, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(number, minlength=len(found))), pa.array(np.bincount(number, many > 1, minlength=len(found)).astype(np.int64))], ["node", "n", "g"])
+                part = batch.slice(lo, 512)
+                elements = [np.sort(as_array(b"".join(x))) for x in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in elements], pa.binary()), pa.array([short_sketch(s).tobytes() for s in elements], pa.binary())], ["node", "n", "u", "elements", "sketch"])
 
-    texts = documents_of(docs, nodes, of_node, id_col).select(F.col(text_col).cast("binary").alias("__text"))
-    counted = dealt(texts.mapInArrow(spread, PACKED)).mapInArrow(count, "node long, n long, g long")
-    return materialise(counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).join(limited(nodes), "node", "left_semi"))
+    return materialise(found.select("node", "n", (F.col("n") - F.col("g")).alias("u"), "lists").mapInArrow(gather, "node long, n long, u long, elements binary, sketch binary"))
 
 
-def near_pairs(pairs: DataFrame, of_node: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out, with their sizes."""
-    num, den = threshold
-    a, b = (of_node.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+def bucket_entries(live: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, node) for the buckets of each node."""
 
-    def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num) // (den + num)
-            apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(apart <= most))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                keys = [bucket_keys(as_array(s), threshold, u) for u, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node)], ["key", "node"])
+
+    return live.select("node", "u", "elements").mapInArrow(work, "key long, node long")
 
-    met = pairs.join(a, "a").join(b, "b").where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
-    return met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, "a long, b long, n_a long, n_b long")
 
+def buckets(entries: DataFrame, live: DataFrame) -> DataFrame:
+    """key, node, and each key's size and pivot, for ``entries`` (key, node, perhaps lead: only keys with a leading entry count) that share a key."""
+    rank = F.struct((F.col("u") / F.col("n")).alias("rank"), F.xxhash64("node").alias("hash"), "node")
+    lead = F.max("lead") if "lead" in entries.columns else F.lit(True)
+    entries = materialise(entries.join(limited(materialise(live.select("node", "n", "u"))), "node"))
+    sizes = entries.groupBy("key").agg(F.count("node").alias("size"), F.min(rank)["node"].alias("pivot"), lead.alias("led")).where("size > 1 and led")
+    return materialise(entries.select("key", "node").join(sizes.drop("led"), "key"))
 
-def verified(docs: DataFrame, pairs: DataFrame, of_node: DataFrame, id_col: str, text_col: str, k: int, seed: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets link: by sizes and sketches first, then by the sets of those that are left (48 bits of each element)."""
+
+def verified(pairs: DataFrame, live: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets link: by sizes and short sketches first, then by the elements."""
     num, den = threshold
-    near = materialise(near_pairs(pairs, of_node, threshold))
-    nodes = materialise(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
-    def columns(_, sets):
-        return [pa.array([node_of(s, seed) if len(s) else None for s in sets], pa.int64()), pa.array([s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets], pa.binary())]
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n, m, u, v = (batch.column(i).to_numpy() for i in range(2, 6))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WORDS) for i in (6, 7))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart + u + v <= (n + m) * (den - num) // (den + num)))
 
-    sets = materialise(_sets(documents_of(docs, nodes, of_node, id_col), id_col, text_col, k, seed, columns, "node long, elements binary", ["node", "elements"]).join(limited(nodes), "node", "left_semi"))
-    if sets.count() > nodes.count():  # an id stood for two texts
-        sets = sets.dropDuplicates(["node"])
+    def end(x: str, *columns: str) -> DataFrame:
+        return live.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
-    def whole(packed_set: bytes) -> np.ndarray:
-        out = np.zeros((len(packed_set) // 6, 8), np.uint8)
-        out[:, 2:] = np.frombuffer(packed_set, np.uint8).reshape(-1, 6)
-        return out.view(np.uint64)[:, 0]
+    met = pairs.join(end("a", "n", "u", "sketch"), "a").join(end("b", "n", "u", "sketch"), "b").select("a", "b", "n_a", "n_b", "u_a", "u_b", "sketch_a", "sketch_b")
+    close = materialise(met.mapInArrow(near, "a long, b long"))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            both = np.array([len(np.intersect1d(whole(x), whole(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            both = np.array([len(np.intersect1d(as_array(x), as_array(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
             union = batch.column(2).to_numpy() + batch.column(3).to_numpy() - both
             yield batch.select([0, 1]).filter(pa.array(den * both >= num * union))
 
-    a, b = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
-    met = near.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+    met = close.join(end("a", "n", "elements"), "a").join(end("b", "n", "elements"), "b").select("a", "b", "n_a", "n_b", "elements_a", "elements_b")
     return materialise(met.mapInArrow(compare, "a long, b long"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links lead to, for the nodes of ``links`` (a, b), by alternating large and small stars."""
+def joined(links: DataFrame) -> DataFrame:
+    """``components`` of a bounded number of links, in one task."""
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for batch in it:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = sorted((root(a), root(b)))
+                parent[b] = a
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    return links.coalesce(1).mapInArrow(join, "node long, component long")
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, component): the smallest node that links lead to, for the nodes of ``links`` (a, b), by alternating large and small stars; ``few`` links are joined in one task."""
+    links = materialise(links.where("a <> b"))
+    if links.count() <= few:
+        return materialise(joined(links))
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
@@ -381,67 +379,127 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
-def later_rounds(members: DataFrame, labels: DataFrame, threshold: tuple[int, int], shared, verify) -> DataFrame:
-    """The labels after comparing, in buckets (key, node) that span several components, growing shares of pivots with members of other components. ``shared(nodes)`` gives node, n and g as ``shared_elements`` does, ``verify(pairs)`` the pairs that link."""
+def spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that have several."""
+    now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return materialise(now.join(several, "key"))
+
+
+def near_within(members: DataFrame, live: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of members of small buckets, in different components, that sizes and short sketches don't rule out."""
     num, den = threshold
-    share = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    def spanning(rows: DataFrame) -> DataFrame:
-        return materialise(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-
-    several = spanning(labelled(members))
-    if several.isEmpty():
-        return labels
-    members = materialise(members.join(several, "key"))
-    counted = shared(materialise(members.select("node").distinct()))
-    members = materialise(members.join(counted.where(den * F.col("g") >= num * F.col("n")), "node"))
-    members = materialise(members.join(materialise(members.groupBy("key").agg(F.count("node").alias("size"))), "key"))
-    before, bound = 0, PIVOTS
+    row = F.struct("node", "component", "n", "u", "sketch")
+    groups = members.select("key", "node", "component").join(live.select("node", "n", "u", "sketch"), "node").groupBy("key").agg(F.collect_list(row).alias("rows"))
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = batch.column(0).flatten()
+            ends = np.cumsum(np.append(0, batch.column(0).value_lengths().to_numpy()))
+            node, component, n, u = (rows.field(i).to_numpy() for i in range(4))
+            sketch = np.frombuffer(b"".join(rows.field(4).to_pylist()), np.uint64).reshape(-1, WORDS)
+            out = [np.zeros((0, 2), np.int64)]
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for i in range(lo, hi - 1):
+                    most = (n[i] + n[i + 1 : hi]) * (den - num) // (den + num) - u[i] - u[i + 1 : hi]
+                    near = np.flatnonzero((component[i] != component[i + 1 : hi]) & (most > 0))
+                    if len(near):
+                        near = near[np.bitwise_count(sketch[i] ^ sketch[i + 1 + near]).sum(axis=1, dtype=np.int64) <= most[near]]
+                        out.append(np.stack([np.minimum(node[i], node[i + 1 + near]), np.maximum(node[i], node[i + 1 + near])], axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return materialise(groups.select("rows").mapInArrow(compare, "a long, b long").distinct())
+
+
+def centres(stars: DataFrame, live: DataFrame, sample: int = 64) -> DataFrame:
+    """pivot and centre: the elements that most of about ``sample`` of the pivot's nodes have. Any set would do; one near all of them leaves small differences."""
+
+    def most(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for sets in batch.column(1).to_pylist():
+                elements, count = np.unique(as_array(b"".join(sets)), return_counts=True)
+                out.append(elements[2 * count > len(sets)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["pivot", "centre"])
+
+    sizes = stars.groupBy("pivot").agg(F.count("node").alias("size"))
+    some = stars.join(sizes, "pivot").where(F.pmod(F.xxhash64("pivot", "node"), F.lit(1 << 30)) * F.col("size") < sample << 30)
+    return some.join(live.select("node", "elements"), "node").groupBy("pivot").agg(F.collect_list("elements").alias("sets")).mapInArrow(most, "pivot long, centre binary")
+
+
+def difference_entries(stars: DataFrame, live: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, node, lead, w) for ``stars`` (pivot, node): keys are the pivot and each of the first elements in which a node differs from it.
+
+    Let d(x) be the elements of x's own, then those that the pivot's centre lacks, then
+    those of the centre that x lacks. Linked x and y differ in at most D elements, so d(x)
+    and d(y) have (|d(x)| + |d(y)| - D) / 2 in common at least. If that is over 0, one of
+    the first D / 2 + 1 elements of the smaller (its leading entries) is among the first
+    D + 1 of the larger. Else |d(x)| + |d(y)| <= D, which makes x and y link; as D is a
+    share of both sizes, whoever has such a partner has one in the node of the least
+    w = |d| - share * size. Rows with w (times den + num) are for that.
+    """
+    num, den = threshold
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys, nodes, leads, weights = [], [], [], []
+            for pivot, node, n, u, centre, elements in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                most = (n + n * den // num) * (den - num) // (den + num)
+                x, p = as_array(elements), as_array(centre or b"")
+                new, gone = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                first = np.append(np.concatenate([new, gone])[: max(0, most + 1 - u)], np.uint64(0))
+                keys.append(mixed(first ^ mixed(np.array([pivot], np.int64).view(np.uint64))))
+                nodes.append(np.full(len(first), node, np.int64))
+                leads.append(np.arange(u, u + len(first)) <= most // 2)
+                weights += [None] * (len(first) - 1) + [(u + len(new) + len(gone)) * (den + num) - n * (den - num)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(leads)), pa.array(weights, pa.int64())], ["key", "node", "lead", "w"])
+
+    met = stars.join(live.select("node", "n", "u", "elements"), "node").join(centres(stars, live), "pivot", "left")
+    return materialise(met.select("pivot", "node", "n", "u", "centre", "elements").mapInArrow(work, "key long, node long, lead boolean, w long"))
+
+
+def resolved(members: DataFrame, live: DataFrame, threshold: tuple[int, int], small: int = SMALL) -> DataFrame:
+    """(node, component) of linked nodes, from ``members`` (key, node, size, pivot) of the buckets."""
+
+    def stars(rows: DataFrame) -> DataFrame:
+        return materialise(rows.where("pivot <> node").select("pivot", "node").distinct())
+
+    labels, every = None, stars(members)
     while True:
-        now = labelled(members)
-        several = spanning(now.where(share * F.col("size") >= before))
-        if several.isEmpty():
+        links = verified(every.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), live, threshold)
+        labels = relabelled(labels, links) if labels is not None else components(links)
+        members = spanning(members, labels)
+        pairs = near_within(members.where(F.col("size") <= small), live, threshold)
+        labels = relabelled(labels, verified(pairs, live, threshold))
+        members = spanning(members.where(F.col("size") > small).drop("component"), labels)
+        if members.isEmpty():
             return labels
-        now = materialise(now.join(several, "key"))
-        chosen = now.where((share * F.col("size") >= before) & (share * F.col("size") < bound))
-        pivots = materialise(chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("g").alias("h")))
-        enough = (num + den) * F.least("g", "h") >= num * (F.col("n") + F.col("m"))
-        met = pivots.join(now, "key").where((F.col("other") != F.col("component")) & enough)
-        pairs = materialise(met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-        labels = relabelled(labels, verify(pairs))
-        members = now.drop("component")
-        before, bound = bound, bound * GROWTH
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+        entries = difference_entries(stars(members), live, threshold)
+        members = buckets(entries.where("w is null").drop("w"), live)
+        close = entries.where("w is not null")
+        least = close.groupBy("key").agg(F.min(F.struct("w", "node")).alias("least"))
+        close = close.join(least, "key").where("w + least.w <= 0").select(F.col("least.node").alias("pivot"), "node")
+        every = stars(members.select("pivot", "node").union(close))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, small: int = SMALL) -> DataFrame:
     """A row for each row of ``docs``: id, n_shingles and component_id, the smallest id that links (Jaccard at least threshold[0] / threshold[1]) lead to."""
     seed = 0
     while True:
         nodes = materialise(document_nodes(docs, id_col, text_col, k, seed))
         known = nodes.where("id is not null and node is not null")
-        of_node = materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("low"), F.max("check").alias("high")))
+        of_node = materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.min("check").alias("low"), F.max("check").alias("high")))
         if of_node.where("low <> high").isEmpty():
             break
         seed += 2  # two sets had one hash: with another seed they don't
-    met = materialise(bucket_rows(docs.where(F.col(id_col).isNotNull()), text_col, k, seed, threshold))
-    pairs = materialise(met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-    place = (id_col, text_col, k, seed)
-
-    def shared(nodes: DataFrame) -> DataFrame:
-        return shared_elements(docs, nodes, of_node, *place)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return verified(docs, pairs, of_node, *place, threshold)
-
-    members = materialise(met.where("key is not null").select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct())
-    labels = later_rounds(members, components(verify(pairs)), threshold, shared, verify)
+    sets = known.join(limited(materialise(of_node.select("row"))), "row", "left_semi").select("node", "n", "elements")
+    live = linkable(sets, threshold)
+    labels = resolved(buckets(bucket_entries(live, threshold), live), live, threshold, small)
     named = of_node.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = materialise(named.groupBy("component").agg(F.min("id").alias("component_id")))
-    resolved = materialise(named.join(smallest, "component").select("node", "component_id"))
-    out = nodes.select("id", "n", "node").join(resolved, "node", "left")
+    found = materialise(named.join(smallest, "component").select("node", "component_id"))
+    out = nodes.select("id", "n", "node").join(found, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 

@@ -53,30 +53,49 @@ def corpus(seed, groups=6):
     return [(n * 3 + 1, t) for n, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_components_against_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, small", [(0, p.SMALL), (1, p.SMALL), (1, 3)])
+def test_components_against_brute_force(spark, seed, small):
     docs = corpus(seed)
-    got = p.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    got = p.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), small=small)
     assert sorted(map(tuple, got.collect())) == brute(docs)
 
 
-def test_later_rounds_find_what_pivots_miss(spark):
-    """A bucket whose members link pairwise along a chain only; its first pivot links with one of them."""
-    n = 40
-    sets = [np.arange(10 * i, 10 * i + 200, dtype=np.int64) for i in range(n)]
-    sets_df = spark.createDataFrame([(i, 200, s.tolist()) for i, s in enumerate(sets)], "node long, n long, elements array<long>")
-    members = spark.createDataFrame([(7, i) for i in range(n)], "key long, node long")
-    first = spark.createDataFrame([(0, 1)], "a long, b long")
-
-    def verify(pairs):
-        a, b = (sets_df.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("set_a", "set_b")) >= 190).select("a", "b")
-
-    def shared(nodes):
-        return sets_df.join(nodes, "node").select("node", "n", F.when(F.col("node").isin(0, n - 1), 190).otherwise(200).alias("g"))
-
-    labels = p.later_rounds(members, p.components(first), (90, 100), shared, verify)
-    assert {(r["node"], r["component"]) for r in labels.collect()} == {(i, 0) for i in range(n)}
+@pytest.mark.parametrize("k, threshold, small, copies", [(3, (90, 100), p.SMALL, 3000), (5, (80, 100), 100, 700)])
+def test_many_different_near_copies(spark, k, threshold, small, copies):
+    """Different copies of one text that share buckets, of which few link, against the links of all pairs."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    docs = []
+    for n in range(copies):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.choice([0, 1, 1])] = [rng.choice(words)]
+        docs.append((n, " ".join(copy)))
+    sets = [p.shingle_hashes(t.encode(), k, 0) for _, t in docs]
+    every, number = np.unique(np.concatenate(sets), return_inverse=True)
+    table = np.zeros((len(docs), len(every)), np.float32)
+    table[np.repeat(np.arange(len(docs)), [len(s) for s in sets]), number] = 1
+    size = np.array([len(s) for s in sets])
+    both = (table @ table.T).astype(np.int64)
+    linked = threshold[1] * both >= threshold[0] * (size[:, None] + size - both)
+    least = np.arange(len(docs))
+    while (now := np.where(linked, least, len(docs)).min(axis=1)).tolist() != least.tolist():
+        least = now
+    got = p.similar_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), k=k, threshold=threshold, small=small)
+    assert sorted(map(tuple, got.collect())) == [(n, int(size[n]), int(least[n])) for n in range(len(docs))]
+    assert 1 < len(set(least.tolist())) < len(docs) - 100
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(edited(rng, words, 500))), (3, " ".join(edited(rng, words, 9_000)))]
+    rows = spark.createDataFrame([(*d, 7, "x", 1, "y") for d in docs], "doc_id long, text string, node int, id string, row int, __text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in p.similar_components(rows).collect()) == [(1, 1), (2, 1), (3, 3)]
+    kept = p.representatives(rows)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_every_link_shares_a_bucket():
@@ -92,25 +111,39 @@ def test_every_link_shares_a_bucket():
                 assert set(p.bucket_keys(whole, (90, 100)).tolist()) & set(p.bucket_keys(other, (90, 100)).tolist())
 
 
+def test_elements_of_ones_own_leave_a_bucket():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        size = int(rng.integers(20, 400))
+        common = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        u, v = (int(x) for x in rng.integers(0, size // 20 + 1, 2))
+        if 100 * size >= 90 * (size + u + v):
+            shared = set(p.bucket_keys(common, (90, 100), u).tolist()) & set(p.bucket_keys(common, (90, 100), v).tolist())
+            assert shared
+
+
 def test_sketches_bound_the_symmetric_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 300, rng.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        assert p.sketch_distance(p.parity_bits(x).tobytes(), p.parity_bits(y).tobytes()) <= len(np.setxor1d(x, y))
+        assert np.bitwise_count(p.short_sketch(x) ^ p.short_sketch(y)).sum() <= len(np.setxor1d(x, y))
 
 
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (101, 90)]
-    got = p.components(spark.createDataFrame(edges, "a long, b long"))
-    assert {(r["node"], r["component"]) for r in got.collect()} == {(i, 0) for i in range(61)} | {(100, 90), (101, 90), (90, 90)}
-    assert p.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 1000):
+        got = p.components(spark.createDataFrame(edges, "a long, b long"), few)
+        assert {(r["node"], r["component"]) for r in got.collect()} == {(i, 0) for i in range(61)} | {(100, 90), (101, 90), (90, 90)}
+        assert p.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 def test_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert p.similar_components(empty).count() == 0
-    rows = spark.createDataFrame([(None, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 3), (4, "x", 4)], "doc_id long, text string, node int")
-    assert sorted(map(str, p.similar_components(rows).collect())) == sorted(map(str, [(None, 2, None), (5, 2, 5), (5, 2, 5), (4, 1, 4)])) or {tuple(r) for r in p.similar_components(rows).collect()} == {(None, 2, None), (5, 2, 5), (4, 1, 4)}
+    assert p.representatives(empty).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 3), (4, "x", 4), (6, None, 5), (7, "", 6)], "doc_id long, text string, node int")
+    got = sorted((tuple(r) for r in p.similar_components(rows).collect()), key=str)
+    assert got == sorted([(None, 2, None), (5, 2, 5), (5, 2, 5), (4, 1, 4), (6, 0, 6), (7, 0, 7)], key=str)
     kept = p.representatives(rows)
     assert kept.columns == rows.columns
-    assert {r["node"] for r in kept.collect()} >= {1, 4}
+    assert sorted(r["node"] for r in kept.collect()) == [1, 2, 3, 4, 5, 6]
