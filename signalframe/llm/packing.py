@@ -16,7 +16,9 @@ Numbering deals a length over about sqrt(count) salts, so that no length, howeve
 common, is numbered in one task.
 
 Defined cases: null text is an empty document (its only token is the end token);
-an empty table gives an empty result; rows that repeat an id are packed each.
+an empty table gives an empty result; rows that repeat an id are packed each; other
+columns are not read by ``pack_documents``, and ``pack`` returns those it is given,
+which must not be called sequence_id or offset.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import materialise
+from signalframe.llm.common import fresh, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,13 +41,22 @@ LARGE = 8  # lengths over capacity / LARGE are large
 GROUPS = 256
 CACHED_WORDS = 1_200_000
 MARKS = (",", ".")
+SLICE = 512
+
+
+def cut_mark(part: str) -> str:
+    """The stop or comma that ends ``part`` behind an ASCII digit or a Latin letter, else nothing. Composing and lower-casing leave such a letter a letter, so that the library cuts there too."""
+    if part[-1:] in MARKS and (c := part[-2:-1]) < "\u0180" and (c.isascii() and c.isdigit() or c.isalpha() and len(c.lower()) == 1):
+        return part[-1]
+    return ""
 
 
 class WordIds:
     """The library's ids of white-space separated parts of texts, each distinct part encoded once; forgets all beyond ``limit`` parts.
 
     The tokenizer maps white space to nothing and no token spans it, so the ids of
-    a text are those of its parts, one after another.
+    a text are those of its parts, one after another. Parts that differ in their
+    capitals A-Z or by a last stop or comma share one encoding.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
@@ -58,66 +70,79 @@ class WordIds:
         self.length = np.zeros(1 << 12, np.int64)
         self.start = np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self._encode(["", *MARKS])
 
-    def learn(self, parts: set[str]) -> None:
-        """Encodes new parts. One that ends with a stop or comma behind a letter or digit is its body's ids and the mark's, the library cutting there too, and A-Z are lower-cased as the library does; so each body is encoded once."""
-        new = [p for p in parts if p not in self.index]
-        if len(self.index) + len(new) > self.limit:
-            self.clear()
-            new = list(parts)
-        if not new:
+    def _encode(self, parts: list[str]) -> None:
+        """Adds parts that aren't known by asking the library."""
+        if not parts:
             return
-        cut = {p: (p[:-1], p[-1]) if p[-1:] in MARKS and p[-2:-1].isalnum() else (p, "") for p in new}
-        plain = {b: b.lower() if b.isascii() and "<" not in b else b for b, _ in cut.values()}
-        bodies = sorted({*plain.values(), *MARKS})
-        encoded = self.library.encode(" ".join(bodies), add_special_tokens=False)
+        encoded = self.library.encode(" ".join(parts), add_special_tokens=False)
         ids = np.array(encoded.ids, np.uint32)
-        ends = np.cumsum([len(b) + 1 for b in bodies])
+        ends = np.cumsum([len(p) + 1 for p in parts])
         owner = np.searchsorted(ends, np.fromiter((start for start, _ in encoded.offsets), np.int64, len(ids)), "right")
-        lengths = np.bincount(owner, minlength=len(bodies))
-        starts = np.cumsum(lengths) - lengths
-        number = {b: i for i, b in enumerate(bodies)}
-        marks = {m: ids[starts[number[m]] : starts[number[m]] + lengths[number[m]]] for m in MARKS} | {"": ids[:0]}
-        for mark, tail in marks.items():
-            mine = [p for p in new if cut[p][1] == mark]
-            if mine:
-                body = np.fromiter((number[plain[cut[p][0]]] for p in mine), np.int64, len(mine))
-                self._add(mine, ids, starts[body], lengths[body], tail)
-
-    def _add(self, parts: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tail: np.ndarray) -> None:
-        whole = lengths + len(tail)
-        first, total, ends = len(self.index), int(whole.sum()), np.cumsum(whole)
+        lengths = np.bincount(owner, minlength=len(parts))
+        self._append(ids)
+        self._add(parts, self.used - len(ids) + np.cumsum(lengths) - lengths, lengths)
+
+    def _append(self, ids: np.ndarray) -> None:
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _add(self, parts: list[str], starts: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.index)
         self.index.update(zip(parts, range(first, first + len(parts)), strict=True))
         while len(self.length) < len(self.index):
             self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        place = self.used + ends - whole
-        self.length[first : first + len(parts)] = whole
-        self.start[first : first + len(parts)] = place
-        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.flat[np.repeat(place, lengths) + within] = ids[np.repeat(starts, lengths) + within]
-        for i, token in enumerate(tail):
-            self.flat[place + lengths + i] = token
-        self.used += total
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; the parts that all of them need are encoded together."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn({p for parts in split for p in parts if p not in self.index})
-        for parts in split:
-            try:
-                codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-            except KeyError:  # the cache was emptied for later parts
-                self.learn(set(parts))
-                codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-            lengths = self.length[codes]
-            ends = np.cumsum(lengths)
-            at = np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1])
-            yield self.flat[at]
+        self.length[first : first + len(parts)] = lengths
+        self.start[first : first + len(parts)] = starts
+
+    def _gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, one after another, and how many each has."""
+        lengths = self.length[codes]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+    def learn(self, parts: list[str]) -> None:
+        """Adds the distinct ``parts``: bodies in lower case first, then those that are one of them in other letters or with a mark."""
+        index = self.index
+        new = [p for p in parts if p not in index]
+        if len(index) + 2 * len(new) > self.limit and len(index) > 3:
+            self.clear()
+            index = self.index
+            new = [p for p in parts if p not in index]
+        marks = list(map(cut_mark, new))
+        bodies = [p[:-1] if m else p for p, m in zip(new, marks, strict=True)]
+        bodies = [b.lower() if b.isascii() and "<" not in b else b for b in bodies]
+        self._encode(list(dict.fromkeys(b for b in bodies if b not in index)))
+        for mark in ("", *MARKS):
+            mine = [(p, b) for p, b, m in zip(new, bodies, marks, strict=True) if m == mark and p not in index]
+            if not mine:
+                continue
+            codes = np.fromiter((index[b] for _, b in mine), np.int64, len(mine))
+            starts, lengths = self.start[codes], self.length[codes]
+            if mark:
+                ids, _ = self._gathered(np.stack([codes, np.full(len(codes), index[mark])], axis=1).ravel())
+                lengths = lengths + self.length[index[mark]]
+                self._append(ids)
+                starts = self.used - len(ids) + np.cumsum(lengths) - lengths
+            self._add([p for p, _ in mine], starts, lengths)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Arrow splits the texts and numbers their distinct parts; only these become Python strings."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        parts = split.flatten().dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        self.learn(words)
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[parts.indices.to_numpy()]
+        ids, lengths = self._gathered(codes)
+        ends = np.append(0, np.cumsum(lengths))[split.offsets.to_numpy()]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield ids[a:b]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return next(self.encode_all([text]))
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 _encoders: dict[str, WordIds] = {}
@@ -144,9 +169,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         words = encoder(path or tokenizer_path())
         for batch in it:
             keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(texts), 128):
+            for lo in range(0, len(texts), SLICE):
                 rows, out = [], []
-                for row, ids in enumerate(words.encode_all(texts[lo : lo + 128].to_pylist()), lo):
+                for row, ids in enumerate(words.encode_all(texts[lo : lo + SLICE]), lo):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
@@ -286,21 +311,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """``parts`` (any table with a ``length`` of 1 to ``capacity``, read more than once) with sequence_id and offset; ``order`` numbers the pieces of a length."""
     spark = parts.sparkSession
+    if taken := {"sequence_id", "offset"} & {c.lower() for c in parts.columns}:
+        raise ValueError(f"columns of this name are added: {sorted(taken)}")
+    salt, many, ahead, base, inside, number, place = (fresh(x, parts.columns) for x in ("__salt", "__salts", "__n", "__base", "__within", "__number", "__place"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs = sorted(plan(histogram, capacity, groups))
     bits = 44
     table = np.array([[n << bits | first, first, seq, per, offset] for n, first, _, seq, per, offset in runs], np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
-    salts = spark.createDataFrame([(n, int(c**0.5) + 1) for n, c in histogram.items()], "length long, __salts int")
-    salted = parts.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__salts")).cast("int"))
+    salts = spark.createDataFrame([(n, int(c**0.5) + 1) for n, c in histogram.items()], f"length long, {many} int")
+    salted = parts.join(F.broadcast(salts), "length").withColumn(salt, F.pmod(F.xxhash64(*order), F.col(many)).cast("int"))
     bases = (
-        salted.groupBy("length", "__salt")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__base", F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n"))
-        .drop("__n")
+        salted.groupBy("length", salt)
+        .agg(F.count(F.lit(1)).alias(ahead))
+        .withColumn(base, F.sum(ahead).over(Window.partitionBy("length").orderBy(salt)) - F.col(ahead))
+        .drop(ahead)
     )
-    within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
-    numbered = salted.withColumn("__within", within).join(bases, ["length", "__salt"]).withColumn("__number", (F.col("__base") + F.col("__within")).cast("long"))
+    within = F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1
+    numbered = salted.withColumn(inside, within).join(bases, ["length", salt]).withColumn(number, (F.col(base) + F.col(inside)).cast("long"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def places(length, number):
@@ -312,8 +340,8 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY, groups: i
         sequence, place = np.divmod(k - run[:, 1], run[:, 3])
         return pd.DataFrame({"sequence_id": run[:, 2] + sequence, "offset": run[:, 4] + place * n})
 
-    placed = numbered.withColumn("__place", places("length", "__number"))
-    return placed.select(*[F.col(f"`{c}`") for c in parts.columns], "__place.sequence_id", "__place.offset")
+    placed = numbered.withColumn(place, places("length", number))
+    return placed.select(*[F.col(f"`{c}`") for c in parts.columns], f"{place}.sequence_id", f"{place}.offset")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:

@@ -66,3 +66,39 @@ def test_packed_documents(spark):
             at += length
         assert at <= 128
     assert k.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_marks_behind_every_letter_equal_the_library():
+    """Every letter and digit before a stop or comma, alone and behind another, among them those that the library takes apart."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(k.tokenizer_path()), k.WordIds(k.tokenizer_path(), limit=50_000)
+    letters = [c for c in map(chr, range(sys.maxunicode)) if c.isalnum() and (ord(c) < 0x3400 or ord(c) > 0xF900 and ord(c) < 0x10000)]
+    for lo in range(0, len(letters), 2000):
+        part = letters[lo : lo + 2000]
+        text = " ".join([f"{c}{m}" for c in part for m in ".,"] + [f"x{c}." for c in part] + [f"{c}'s." for c in part])
+        assert words.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_random_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(k.tokenizer_path()), k.WordIds(k.tokenizer_path(), limit=300)
+    rng = random.Random(4)
+    alphabet = [*"aAzZ09.,'<|>- \n\t\u0130\u0958\u09dc\ufb2a\u0301\u0307éÉßſŉµª²½İıΣς日가ᄀ", "<|endoftext|>", "'s", "don't", " The", ".\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, ""]
+    import pyarrow as pa
+
+    for text, ids in zip(texts, words.encode_all(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_pack_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(n, 3 + n % 2, "s", 1, 2, 3) for n in range(20)], "id long, length long, __salt string, __within int, __number int, __place int")
+    got = k.pack(rows, ["id"], capacity=10)
+    assert got.columns == [*rows.columns, "sequence_id", "offset"] and got.count() == 20
+    with pytest.raises(ValueError):
+        k.pack(rows.withColumnRenamed("__salt", "Offset"), ["id"], capacity=10)
+    assert k.pack_documents(spark.createDataFrame([], "doc_id long, text string, length int")).count() == 0
