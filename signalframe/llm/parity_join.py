@@ -10,10 +10,11 @@ less than the ratio of neighbouring bands, so a document stands in its own and i
 the next band. Parts of fewer than two set bits say little: a document that has at
 most R of those leaves them out, which still leaves one agreeing part of every link.
 
-Equal sets are one node from the start, and a node's set is written once. Elements
+Equal sets are one node from the start. Elements
 that only one node has can't be in an intersection: they are counted (u) and left
 out of sketches, which makes R greater by u and D less by u for each of two nodes.
-Nodes that have too many of them link with nothing and are left out.
+Nodes that have too many of them link with nothing and are left out; the sets of all
+others are written once.
 
 Buckets are never expanded into all pairs. Each has a pivot, the member with the
 least share of elements of its own; members are compared with it, by 256-bit
@@ -36,7 +37,7 @@ not read, and ``representatives`` returns them as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +51,7 @@ from signalframe.llm.common import LOWER, WordHashes, materialise, mixed, shuffl
 SHINGLE = 3
 THRESHOLD = (90, 100)
 SPARE = 2  # R
-CHUNK_ROWS = 400_000
+CHUNK_ROWS = 1_000_000
 BROADCAST_BYTES = 16_000_000
 SMALL = 1000
 FEW_LINKS = 500_000  # 8 MB
@@ -124,23 +125,24 @@ def as_array(value: bytes) -> np.ndarray:
     return np.frombuffer(value, np.uint64)
 
 
-def document_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """row (its number), id, n (set size), node, a second hash of the set and its elements; the last three null for empty sets."""
+def set_rows(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, with_elements: bool) -> DataFrame:
+    """id, n (set size), node, and a second hash of the set or its elements; all but n null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
+    last, last_kind = (np.ndarray.tobytes, "binary") if with_elements else (lambda s: node_of(s, seed + 1), "long")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for part in slices(it):
+            sets = [shingle_hashes(t, k, seed) for t in part.column(1).to_pylist()]
+            columns = [pa.array([f(s) if len(s) else None for s in sets], t) for f, t in ((lambda s: node_of(s, seed), pa.int64()), (last, pa.binary() if with_elements else pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *columns], ["id", "n", "node", "last"])
+
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(work, f"id {kind}, n long, node long, last {last_kind}")
 
-        row = TaskContext.get().partitionId() << 36
-        for batch in it:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = [shingle_hashes(t, k, seed) for t in part.column(1).to_pylist()]
-                columns = [pa.array([f(s) if len(s) else None for s in sets], kind) for f, kind in ((lambda s: node_of(s, seed), pa.int64()), (lambda s: node_of(s, seed + 1), pa.int64()), (np.ndarray.tobytes, pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sets))), part.column(0), pa.array([len(s) for s in sets], pa.int64()), *columns], ["row", "id", "n", "node", "check", "elements"])
-                row += len(sets)
 
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(work, f"row long, id {kind}, n long, node long, check long, elements binary")
+def slices(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +167,7 @@ def packed(place: np.ndarray, value: np.ndarray, node: np.ndarray, flag: np.ndar
     out = []
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(place)).tolist(), strict=True):
         nodes, number = np.unique(node[a:b], return_inverse=True)
-        out.append((int(place[a]), value[a:b].tobytes(), nodes.tobytes(), (number.astype("<u4") << 1 | flag[a:b]).astype("<u4").tobytes()))
+        out.append((int(place[a]), value[a:b].tobytes(), nodes.tobytes(), (number << 1 | flag[a:b]).astype("<u2").tobytes()))
         if len(out) == 256:
             yield _packed_batch(out)
             out = []
@@ -177,21 +179,24 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["place", "value", "node", "number"])
 
 
-def opened(value: bytes, node: bytes, number: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    number = np.frombuffer(number, "<u4")
-    return as_array(value), np.frombuffer(node, np.int64)[number >> 1], (number & 1).astype(bool)
+def opened(value: bytes, node: bytes, number: bytes, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number = np.frombuffer(number, "<u2")
+    return np.frombuffer(value, kind), np.frombuffer(node, np.int64)[number >> 1], (number & 1).astype(bool)
 
 
 PACKED = "place int, value binary, node binary, number binary"
 
 
-def shared_elements(sets: DataFrame, whole: bool) -> DataFrame:
-    """Rows (node, g, elements): g elements of a node that other nodes of ``sets`` (node, elements) have too, and (``whole``) which. A node has several rows, an element is in one.
+def shared_elements(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], whole: bool) -> DataFrame:
+    """Rows (node, g, elements): g elements of a node that others have too, and (``whole``) which. A node has several rows. ``sets_of`` gives the nodes and sets of a batch of ``rows``.
 
     A task that holds several nodes with an element knows it is shared, and sends it
-    on once, so an element that all documents have is no large group anywhere.
+    on once, so an element that all documents have is no large group anywhere. Without
+    ``whole`` half of an element's bits beside its place stand for it; g is then at
+    least the true number, as it is where a node comes twice.
     """
-    places = 8 * shuffle_partitions(sets.sparkSession)
+    places = shuffle_partitions(rows.sparkSession)
+    kind = np.uint64 if whole else np.uint32
 
     def by_node(node: np.ndarray, element: np.ndarray) -> pa.RecordBatch:
         by = np.argsort(node, kind="stable")
@@ -201,6 +206,9 @@ def shared_elements(sets: DataFrame, whole: bool) -> DataFrame:
         lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * 8), pa.py_buffer(element)]) if whole else pa.nulls(len(starts), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(np.diff(ends).astype(np.int64)), lists], ["node", "g", "elements"])
 
+    def sent(element: np.ndarray) -> np.ndarray:
+        return element if whole else (element >> np.uint64(32)).astype(np.uint32)
+
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -208,23 +216,23 @@ def shared_elements(sets: DataFrame, whole: bool) -> DataFrame:
         def flush():
             element, node, many = starred(np.concatenate([s for _, s in held]), np.repeat(np.array([n for n, _ in held], np.int64), [len(s) for _, s in held]))
             first = np.append(True, element[1:] != element[:-1])
-            yield from packed((element[first] % np.uint64(places)).astype(np.int64), element[first], np.where(many[first] > 1, 0, node[first]), many[first] > 1)
+            yield from packed((element[first] % np.uint64(places)).astype(np.int64), sent(element[first]), np.where(many[first] > 1, 0, node[first]), many[first] > 1)
             known = many > 1  # these need no meeting
             spread_over = mixed(node[known].view(np.uint64)) % np.uint64(places)
-            yield from packed(-1 - spread_over.astype(np.int64), element[known], node[known], known[known])
+            yield from packed(-1 - spread_over.astype(np.int64), sent(element[known]), node[known], known[known])
 
-        for batch in it:
-            for node, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((node, as_array(elements)))
-                size += len(held[-1][1])
-                if size >= CHUNK_ROWS:
+        for part in slices(it, 256):
+            for node, elements in sets_of(part):
+                held.append((node, elements))
+                size += len(elements)
+                if size >= CHUNK_ROWS or len(held) >= 30_000:  # fewer nodes than 15 bits count
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    def met(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        element, node, many = (np.concatenate(x) for x in zip(*rows, strict=True))
+    def met(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        element, node, many = (np.concatenate(x) for x in zip(*found, strict=True))
         shared = np.unique(element[many])
         alone = ~many
         element, node, several = starred(element[alone], node[alone])
@@ -237,56 +245,67 @@ def shared_elements(sets: DataFrame, whole: bool) -> DataFrame:
         for batch in it:
             for place, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place < 0:
-                    element, node, _ = opened(*row)
+                    element, node, _ = opened(*row, kind)
                     yield by_node(node, element)
                     continue
                 if place != at and held:
                     yield met(held)
                     held = []
                 at = place
-                held.append(opened(*row))
+                held.append(opened(*row, kind))
         if held:
             yield met(held)
 
-    rows = sets.select("node", "elements").mapInArrow(spread, PACKED).repartition(shuffle_partitions(sets.sparkSession), "place").sortWithinPartitions("place")
-    return rows.mapInArrow(count, "node long, g long, elements binary")
+    dealt = rows.mapInArrow(spread, PACKED).repartition(places, "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(count, "node long, g long, elements binary")
 
 
 def limited(df: DataFrame) -> DataFrame:
-    """``df``, a written table of numbers, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST_BYTES else df
+    """``df``, a written table of few columns, marked for broadcast if its values take few bytes."""
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(8)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
-def linkable(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of the distinct ``sets`` (node, n, elements) those that can link: node, n, u (elements of its own), the other elements and their short sketch."""
+def linkable(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, k: int, seed: int, threshold: tuple[int, int]) -> DataFrame:
+    """Of the distinct sets those that can link: node, n, u (elements of its own), the other elements and their short sketch. ``known`` has node, n and the id of a document that has the set."""
     num, den = threshold
-    enough = den * F.col("g") >= num * F.col("n")
-    size = sets.select("node", "n")
-    counted = shared_elements(sets, False).groupBy("node").agg(F.sum("g").alias("g"))
-    able = materialise(counted.join(size, "node").where(enough).select("node"))
-    found = shared_elements(sets.join(limited(able), "node", "left_semi"), True)
-    found = found.groupBy("node").agg(F.sum("g").alias("g"), F.collect_list("elements").alias("lists")).join(size, "node").where(enough)
+
+    def of_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for text in batch.column(0).to_pylist():
+            if len(s := shingle_hashes(text, k, seed)):
+                yield node_of(s, seed), s
+
+    def of_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        return zip(batch.column(0).to_pylist(), map(as_array, batch.column(1).to_pylist()), strict=True)
+
+    def documents_of(ids: DataFrame) -> DataFrame:
+        ids = materialise(ids.select(F.col("id").alias(id_col)).distinct())
+        return docs.join(limited(ids), id_col, "left_semi")
+
+    counted = shared_elements(documents_of(known).select(F.col(text_col).cast("binary").alias("__text")), of_texts, False).groupBy("node").agg(F.sum("g").alias("g"))
+    able = materialise(counted.join(known, "node").where(den * F.col("g") >= num * F.col("n")).select("node", "id", "n"))
+    sets = set_rows(documents_of(able), id_col, text_col, k, seed, True).where("node is not null")
+    sets = materialise(sets.select("node", F.col("last").alias("elements")).join(limited(materialise(able.select("node"))), "node", "left_semi"))
+    found = shared_elements(sets, of_sets, True).groupBy("node").agg(F.collect_list("elements").alias("lists")).join(able, "node")
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                elements = [np.sort(as_array(b"".join(x))) for x in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in elements], pa.binary()), pa.array([short_sketch(s).tobytes() for s in elements], pa.binary())], ["node", "n", "u", "elements", "sketch"])
+        for part in slices(it):
+            elements = [np.unique(as_array(b"".join(x))) for x in part.column(2).to_pylist()]
+            own = part.column(1).to_numpy() - np.array([len(s) for s in elements])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(own), pa.array([s.tobytes() for s in elements], pa.binary()), pa.array([short_sketch(s).tobytes() for s in elements], pa.binary())], ["node", "n", "u", "elements", "sketch"])
 
-    return materialise(found.select("node", "n", (F.col("n") - F.col("g")).alias("u"), "lists").mapInArrow(gather, "node long, n long, u long, elements binary, sketch binary"))
+    live = found.select("node", "n", "lists").mapInArrow(gather, "node long, n long, u long, elements binary, sketch binary")
+    return materialise(live.where(den * (F.col("n") - F.col("u")) >= num * F.col("n")))
 
 
 def bucket_entries(live: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(key, node) for the buckets of each node."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                keys = [bucket_keys(as_array(s), threshold, u) for u, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node)], ["key", "node"])
+        for part in slices(it, 256):
+            keys = [bucket_keys(as_array(s), threshold, u) for u, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            node = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node)], ["key", "node"])
 
     return live.select("node", "u", "elements").mapInArrow(work, "key long, node long")
 
@@ -487,14 +506,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """A row for each row of ``docs``: id, n_shingles and component_id, the smallest id that links (Jaccard at least threshold[0] / threshold[1]) lead to."""
     seed = 0
     while True:
-        nodes = materialise(document_nodes(docs, id_col, text_col, k, seed))
+        nodes = materialise(set_rows(docs, id_col, text_col, k, seed, False))
         known = nodes.where("id is not null and node is not null")
-        of_node = materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.min("check").alias("low"), F.max("check").alias("high")))
+        of_node = materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("last").alias("low"), F.max("last").alias("high")))
         if of_node.where("low <> high").isEmpty():
             break
         seed += 2  # two sets had one hash: with another seed they don't
-    sets = known.join(limited(materialise(of_node.select("row"))), "row", "left_semi").select("node", "n", "elements")
-    live = linkable(sets, threshold)
+    live = linkable(docs, of_node.select("node", "id", "n"), id_col, text_col, k, seed, threshold)
     labels = resolved(buckets(bucket_entries(live, threshold), live), live, threshold, small)
     named = of_node.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = materialise(named.groupBy("component").agg(F.min("id").alias("component_id")))
