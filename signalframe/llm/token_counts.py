@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ PRE_TOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\
 #: White space and what follows it. Only blanks and line feeds separate parts, in texts with other white space too: a part that has any is cut by the pattern with its neighbours.
 PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+OTHER_SPACES = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # the same characters, for Arrow
+SLICE = 512
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,26 +69,50 @@ class PrefixCounter:
         self.limit = limit
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.alone: dict[bytes, bool] = {}
+        self.merged: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.pieces: dict[str, list[int]] = {}
         self.parts: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
-    def encoded(self, data: bytes) -> list[bytes]:
-        """Byte-pair encoding as defined: the lowest merge first, the leftmost of equals."""
+    def encoded(self, data: bytes, until: int = 1) -> list[bytes]:
+        """Byte-pair encoding as defined: the lowest merge first, the leftmost of equals; ends at ``until`` tokens."""
         tokens = [data[i : i + 1] for i in range(len(data))]
-        while len(tokens) > 1:
+        while len(tokens) > until:
             rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)))
             if rank == 1 << 60:
                 break
             tokens[at : at + 2] = [tokens[at] + tokens[at + 1]]
         return tokens
 
+    def made(self, token: bytes) -> tuple[int, bytes, bytes]:
+        """The rank of the merge that makes a token, and what it merges; -1 for a byte."""
+        known = self.merged.get(token)
+        if known is None:
+            known = (-1, token, token)
+            if len(token) > 1:
+                left, right = self.encoded(token, 2)
+                known = (self.ranks[left, right], left, right)
+            self.merged[token] = known
+        return known
+
     def together(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge crosses the border of two tokens. From their last state back in time: the one that was made last is taken apart, and a merge across the border would have come before that if its rank is lower (or equal, where it is further left)."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.encoded(a + b) == [a, b]
+            x, y, goes = a, b, (a, b) not in self.ranks
+            while goes:
+                (r, _, right), (s, left, _) = self.made(x), self.made(y)
+                if r < 0 and s < 0:
+                    break
+                if r > s:
+                    x = right
+                    goes = self.ranks.get((x, y), 1 << 60) >= r
+                else:
+                    y = left
+                    goes = self.ranks.get((x, y), 1 << 60) > s
+            known = self.pairs[a, b] = goes
         return known
 
     def by_itself(self, token: bytes) -> bool:
@@ -94,12 +121,12 @@ class PrefixCounter:
             known = self.alone[token] = self.encoded(token) == [token]
         return known
 
-    def along(self, data: bytes) -> list[int]:
-        """count[i] for every prefix of a pre-token's bytes."""
+    def along(self, data: bytes, last: list[bytes] | None = None, count: list[int] | None = None) -> list[int]:
+        """count[i] for every prefix of a pre-token's bytes; ``last`` and ``count`` of a prefix, where given, are gone on with."""
         n, vocab, longest, pairs = len(data), self.vocab, self.longest, self.pairs
-        last: list[bytes] = [b""]
-        count = [0]
-        for i in range(1, n + 1):
+        if last is None or count is None:
+            last, count = [b""], [0]
+        for i in range(len(last), n + 1):
             for start in range(max(0, i - longest), i):
                 token = data[start:i]
                 if token not in vocab:
@@ -115,6 +142,22 @@ class PrefixCounter:
                     break
         return count
 
+    def learn(self, words: list[str]) -> None:
+        """The counts of new words, in the order of their bytes: one that begins like the one before goes on from their common prefix's counts."""
+        found = [PRE_TOKENS.findall(w if w[:1] == "\n" else " " + w) for w in words]
+        totals: dict[str, int] = {}
+        before, last, count = b"", [b""], [0]
+        for data, token in sorted((t.encode(), t) for t in {t for tokens in found for t in tokens}):
+            most, same = min(len(before), len(data)), 0
+            while same < most and before[same] == data[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            totals[token] = self.along(data, last, count)[-1]
+            before = data
+        if len(self.words) + len(words) > self.limit:
+            self.words.clear()
+        self.words.update((w, sum(map(totals.__getitem__, tokens))) for w, tokens in zip(words, found, strict=True))
+
     def piece(self, token: str) -> list[int]:
         """count[i] for the prefixes of i bytes of a pre-token."""
         known = self.pieces.get(token)
@@ -124,15 +167,6 @@ class PrefixCounter:
             known = self.pieces[token] = self.along(token.encode())
         return known
 
-    def word(self, key: str) -> int:
-        """The count of a word behind a blank, or as it is where it begins with a line feed."""
-        known = self.words.get(key)
-        if known is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            known = self.words[key] = sum(self.piece(p)[-1] for p in PRE_TOKENS.findall(key if key[:1] == "\n" else " " + key))
-        return known
-
     def part(self, text: str) -> int:
         known = self.parts.get(text)
         if known is None:
@@ -158,13 +192,6 @@ class PrefixCounter:
                 total += 1
             elif OTHER_SPACE.search(stretch):
                 total += sum(self.piece(p)[-1] for p in PRE_TOKENS.findall(stretch))
-            elif stretch[:1] not in ("", " ", "\n") and stretch[-1] not in " \n" and not any(x in stretch for x in ("  ", " \n", "\n ", "\n\n")):
-                first, *words = stretch.replace("\n", " \n").split(" ")  # every word has one blank or line feed before it
-                total += self.part(first)
-                try:
-                    total += sum(map(self.words.__getitem__, words))
-                except KeyError:
-                    total += sum(map(self.word, words))
             else:
                 parts = PARTS.findall(stretch)
                 try:
@@ -173,6 +200,29 @@ class PrefixCounter:
                     total += sum(map(self.part, parts))
         return total
 
+    def counts_of(self, texts: pa.Array) -> np.ndarray:
+        """``counts`` of many texts. Where all that separates words is one blank or line feed, Arrow splits the texts and numbers their distinct words; only these become Python strings."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, f"^[ \n]|[ \n]$|[ \n][ \n]|{OTHER_SPACES}")
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        odd = pc.or_(odd, pc.equal(texts, ""))
+        out = np.zeros(len(texts), np.int64)
+        rest = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        out[rest] = [self.counts(t) for t in texts.take(pa.array(rest)).to_pylist()]
+        plain = texts.filter(pc.invert(odd))
+        if len(plain):
+            split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+            words = split.flatten().dictionary_encode()
+            starts, distinct = split.offsets.to_numpy(), words.dictionary.to_pylist()
+            if new := [w for w in distinct if w not in self.words]:
+                self.learn(distinct if len(self.words) + len(new) > self.limit else new)
+            counts = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+            firsts = words.indices.to_numpy()[starts[:-1]]
+            counts[starts[:-1]] = [self.part(distinct[i]) for i in firsts.tolist()]  # no blank before these
+            out[~odd.to_numpy(zero_copy_only=False)] = np.diff(np.append(0, np.cumsum(counts))[starts])
+        return out
+
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """The token count of each prefix of 0, 1, ... characters."""
         out, base = [np.zeros(1, np.int64)], 0
@@ -202,29 +252,36 @@ def counter(path: str | None) -> PrefixCounter:
     return _counters[path]
 
 
-def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, kinds: list[pa.DataType], row) -> DataFrame:
-    """``row(text)`` for every text, as columns behind the id; texts go through in small slices."""
+def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+    """``columns(texts)`` behind the id; texts go through in small slices."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(texts), 512):
-                out = [row(t) for t in texts[lo : lo + 512].to_pylist()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 512], *columns], [id_col, *[f"c{n}" for n in range(len(kinds))]])
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                out = columns(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *out], [id_col, *[f"c{n}" for n in range(len(out))]])
 
     return df.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {schema}")
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of every text."""
-    found = _mapped(df, id_col, text_col, "c0 long, c1 long", [pa.int64(), pa.int64()], lambda t: (len((t or "").encode()), counter(path).counts(t)))
+
+    def columns(texts: pa.Array) -> list[pa.Array]:
+        return [pc.binary_length(pc.fill_null(texts, "")).cast(pa.int64()), pa.array(counter(path).counts_of(texts))]
+
+    found = _mapped(df, id_col, text_col, "c0 long, c1 long", columns)
     return found.select(id_col, F.col("c0").alias("n_bytes"), F.col("c1").alias("n_tokens"), (F.col("c1") > limit).alias("over_limit"))
 
 
 def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id and prefix_counts, whose element i (from 0) is the token count of the first i characters."""
-    found = _mapped(df, id_col, text_col, "c0 array<long>", [pa.list_(pa.int64())], lambda t: (counter(path).prefix_counts(t),))
+
+    def columns(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([counter(path).prefix_counts(t) for t in texts.to_pylist()], pa.list_(pa.int64()))]
+
+    found = _mapped(df, id_col, text_col, "c0 array<long>", columns)
     return found.select(id_col, F.col("c0").alias("prefix_counts"))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -23,6 +24,33 @@ def test_counts_equal_the_library(seed):
         assert counter.counts(text) == len(ids)
         prefixes = counter.prefix_counts(text)
         assert len(prefixes) == len(text) + 1 and prefixes[-1] == len(ids) and prefixes[0] == 0
+    every = [*texts(seed + 10, 2000), None, ""]
+    expected = [len(library.encode(x or "", add_special_tokens=False).ids) for x in every]
+    assert counter.counts_of(pa.array(every, pa.string())).tolist() == expected
+
+
+def test_words_equal_the_library():
+    """Plain texts of words that share beginnings, with a cache that is emptied between."""
+    rng = random.Random(9)
+    library, counter = Tokenizer.from_file(PATH), t.PrefixCounter(PATH, limit=400)
+    for _ in range(20):
+        words = ["".join(rng.choice("aeinrstlthe'.,éß日9") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+        every = [rng.choice([" ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+        assert counter.counts_of(pa.array(every, pa.string())).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in every]
+
+
+def test_tokens_that_go_together():
+    counter = t.PrefixCounter(PATH)
+    rng = random.Random(3)
+    vocab = sorted(v for v in counter.vocab if len(v) < 9 and counter.by_itself(v))
+    for _ in range(5000):
+        a, b = rng.choice(vocab), rng.choice(vocab)
+        assert counter.together(a, b) == (counter.encoded(a + b) == [a, b])
+
+
+def test_a_very_long_pre_token():
+    counter, text = t.PrefixCounter(PATH), "abcdefgh" * 4000
+    assert counter.counts(text) == len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids)
 
 
 def test_prefix_counts_of_words_equal_the_library():
