@@ -22,8 +22,9 @@ def nearest_join(wanted: DataFrame, samples: DataFrame, value: str, by: list[str
     if block is not None:
         both = both.withColumn("__block", F.floor(F.col(time) / block))
         keys.append("__block")
-    here = Window.partitionBy(*keys).orderBy(time)
-    found = both.withColumn("__before", F.last("__s", True).over(here.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.first("__s", True).over(here.rangeBetween(0, Window.unboundedFollowing)))
+    # both frames grow from their start, the second one over falling times: Spark adds each row to a frame once
+    here, back = Window.partitionBy(*keys).orderBy(time), Window.partitionBy(*keys).orderBy(F.desc(time))
+    found = both.withColumn("__before", F.last("__s", True).over(here.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.last("__s", True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     if block is not None:
         ends = both.groupBy(*keys).agg(F.max("__s").alias("__max"), F.min("__s").alias("__min"))
         along = Window.partitionBy(*by).orderBy("__block")
@@ -51,10 +52,27 @@ def sample_rows(rows: DataFrame, n: int, seed: int, key: str = "row_id") -> Data
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
-def shuffled(rows: DataFrame, seed: int, key: str = "row_id") -> DataFrame:
-    """Rows with a place from 0 in a seeded order."""
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    return rows.withColumn("place", F.row_number().over(order) - 1)
+def shuffled(rows: DataFrame, seed: int | list[int], key: str = "row_id") -> DataFrame:
+    """Rows with a place from 0 in a seeded order, the order of the digests of 'seed:key'; several seeds are stacked, each row with its ``seed``.
+
+    Places are numbered within the 4096 ranges of digests with the same first digits,
+    and moved by what the ranges before have, so no task orders all rows.
+    """
+    seeds = [seed] if isinstance(seed, int) else seed
+    stacked = rows.withColumn("seed", F.explode(F.lit(seeds)) if not isinstance(seed, int) else F.lit(seed))
+    digest = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col(key).cast("string")))
+    dealt = stacked.withColumn("__digest", digest).withColumn("__range", F.substring("__digest", 1, 3))
+    counts = dealt.groupBy("seed", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = counts.withColumn("__ahead", F.sum("__n").over(Window.partitionBy("seed").orderBy("__range")) - F.col("__n")).drop("__n")
+    within = F.row_number().over(Window.partitionBy("seed", "__range").orderBy("__digest", key)) - 1
+    placed = dealt.withColumn("__within", within).join(F.broadcast(ahead), ["seed", "__range"])  # 4096 rows for each seed
+    columns = [*rows.columns, *([] if isinstance(seed, int) else ["seed"])]
+    return placed.select(*columns, (F.col("__within") + F.col("__ahead")).alias("place"))
+
+
+def unlisted(rows: DataFrame, skipped: DataFrame, name: str = "name") -> DataFrame:
+    """The rows whose name isn't among those of ``skipped``; rows without a name stay."""
+    return rows.join(skipped.select(name).distinct(), name, "left_anti").select(*rows.columns)
 
 
 def label(name: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions import NAN, divide, frequency
@@ -21,17 +21,39 @@ BATCH = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The signals of a batch as rows. Raises if one is null, has a null or another length than the first."""
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+    if not n:
+        return np.zeros((0, 0))
+    if column.null_count or column.flatten().null_count:
+        raise ValueError("a signal is null or has a null value")
+    lengths = column.value_lengths().to_numpy()
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"signals of {lengths.min()} and {lengths.max()} values can't be summed")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _transformed(rows: list[np.ndarray | None], transform) -> list[np.ndarray | None]:
+    """``transform`` of the rows, those of one length together; of null it is null."""
+    out: list[np.ndarray | None] = [None] * len(rows)
+    by_length: dict[int, list[int]] = {}
+    for n, v in enumerate(rows):
+        if v is not None:
+            by_length.setdefault(len(v), []).append(n)
+    for length, where in by_length.items():
+        made = transform(np.stack([rows[n] for n in where])) if length else np.zeros((len(where), 0), complex)
+        for n, v in zip(where, made, strict=True):
+            out[n] = v
+    return out
 
 
 def dft_rows(rows: DataFrame) -> DataFrame:
-    """row_id, re, im: the unitary transform of each signal."""
+    """row_id, re, im: the unitary transform of each signal, of whatever length; of a null signal null."""
 
     @F.pandas_udf("re array<double>, im array<double>")
     def transform(x: pd.Series) -> pd.DataFrame:
-        u = [np.fft.fft(v) / np.sqrt(len(v)) for v in x]
-        return pd.DataFrame({"re": [v.real for v in u], "im": [v.imag for v in u]})
+        u = _transformed(list(x), lambda v: np.fft.fft(v.astype(float), axis=1) / np.sqrt(v.shape[1]))
+        return pd.DataFrame({"re": [v if v is None else v.real for v in u], "im": [v if v is None else v.imag for v in u]})
 
     return rows.withColumn("u", transform("x")).select("row_id", "u.re", "u.im")
 
@@ -48,12 +70,6 @@ def dft_basis(m: int, spark) -> DataFrame:
     return jk.select("j", "k", (F.cos(angle) / np.sqrt(m)).alias("re"), (-F.sin(angle) / np.sqrt(m)).alias("im"))
 
 
-def column_means(rows: DataFrame) -> np.ndarray:
-    """The mean signal: m numbers, which every later pass needs."""
-    got = rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("mean")).orderBy("j").collect()
-    return np.array([r["mean"] for r in got])
-
-
 def center_columns(rows: DataFrame) -> DataFrame:
     """row_id, x less the mean signal."""
     means = rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("mean"))
@@ -188,16 +204,35 @@ def welch_psd(rows: DataFrame, fs: float, segment: int) -> DataFrame:
     return found.select("row_id", "k", (F.col("k") * F.lit(fs / segment)).alias("freq"), "power")
 
 
-def fourier_eig(cov: DataFrame, m: int, conjugate: bool = True) -> DataFrame:
-    """k, l, re, im: V^H C V (``conjugate``), or the two-dimensional unitary transform V C V, for a matrix (a, b, c)."""
-    rows = dft_rows(matrix_rows(cov))  # over b
-    long = rows.select(F.col("row_id").alias("a"), F.posexplode(F.arrays_zip("re", "im")).alias("l", "c")).select("a", "l", "c.re", "c.im")
-    k = cov.sparkSession.range(m).select(F.col("id").cast("int").alias("k"))
-    angle = F.pmod(F.col("a") * F.col("k"), F.lit(m)) * F.lit(2 * np.pi / m)
-    cos, sin = F.cos(angle) / np.sqrt(m), F.sin(angle) / np.sqrt(m)
-    sin = sin if conjugate else -sin
-    met = long.crossJoin(F.broadcast(k))
-    return met.groupBy("k", "l").agg(F.sum(F.col("re") * cos - F.col("im") * sin).alias("re"), F.sum(F.col("re") * sin + F.col("im") * cos).alias("im"))
+def fourier_eig(cov: DataFrame, m: int, conjugate: bool = True, basis: np.ndarray | None = None) -> DataFrame:
+    """k, l, re, im: V^H C V (``conjugate``), or the two-dimensional transform V C V, for an m * m matrix (a, b, c); V is the unitary Fourier basis or ``basis``.
+
+    The rows are transformed, then the columns of what that gives: m * m rows twice.
+    """
+    shared = cov.sparkSession.sparkContext.broadcast(basis)
+
+    def apply(v: np.ndarray, conjugated: bool) -> np.ndarray:
+        if shared.value is not None:
+            return v @ (shared.value.conj() if conjugated else shared.value)
+        return np.fft.ifft(v, axis=1) * np.sqrt(v.shape[1]) if conjugated else np.fft.fft(v, axis=1) / np.sqrt(v.shape[1])
+
+    @F.pandas_udf("re array<double>, im array<double>")
+    def along(re: pd.Series, im: pd.Series) -> pd.DataFrame:
+        u = _transformed([a + 1j * b for a, b in zip(re, im, strict=True)], lambda v: apply(v, False))
+        return pd.DataFrame({"re": [v.real for v in u], "im": [v.imag for v in u]})
+
+    @F.pandas_udf("re array<double>, im array<double>")
+    def down(re: pd.Series, im: pd.Series) -> pd.DataFrame:
+        u = _transformed([a + 1j * b for a, b in zip(re, im, strict=True)], lambda v: apply(v, conjugate))
+        return pd.DataFrame({"re": [v.real for v in u], "im": [v.imag for v in u]})
+
+    def ordered(key: str, of: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(key, of))), lambda s: s[of])
+
+    rows = matrix_rows(cov).withColumn("u", along("x", F.transform("x", lambda v: v * 0.0)))
+    long = rows.select(F.col("row_id").cast("int").alias("a"), F.posexplode(F.arrays_zip("u.re", "u.im")).alias("l", "c")).select("a", "l", "c.re", "c.im")
+    columns = long.groupBy("l").agg(ordered("a", "re").alias("re"), ordered("a", "im").alias("im")).withColumn("u", down("re", "im"))
+    return columns.select(F.posexplode(F.arrays_zip("u.re", "u.im")).alias("k", "c"), "l").select("k", "l", "c.re", "c.im")
 
 
 def kappa(spectral: DataFrame, part: str = "modulus", by: list[str] | None = None) -> DataFrame:
@@ -228,20 +263,47 @@ def epsilon(spectral: DataFrame) -> DataFrame:
     return spectral.agg((F.sum(off) / F.count_if(F.col("k") == F.col("l"))).alias("epsilon"))
 
 
-def sampled(rows: DataFrame, sizes: list[int], repeats: int) -> DataFrame:
-    """size, rep, row_id, x: for each size and repetition that many rows without replacement, those with the least digests of 'size:rep:row_id'."""
-    spark = rows.sparkSession
-    draws = spark.createDataFrame([(s, r) for s in sizes for r in range(repeats)], "size int, rep int")
-    ranked = rows.crossJoin(F.broadcast(draws)).withColumn("rank", F.md5(F.concat_ws(":", "size", "rep", "row_id")))
-    from pyspark.sql import Window
+def log_sizes(low: int, high: int, n: int) -> list[int]:
+    """``n`` sizes from ``low`` to ``high`` in equal ratios, cut to whole numbers; the same one only once."""
+    return sorted({int(s) for s in np.round(np.logspace(np.log10(low), np.log10(high), n), 9)})
 
-    return ranked.withColumn("n", F.row_number().over(Window.partitionBy("size", "rep").orderBy("rank", "row_id"))).where("n <= size").select("size", "rep", "row_id", "x")
+
+def sampled(rows: DataFrame, sizes: list[int], repeats: int) -> DataFrame:
+    """size, rep, row_id, x: for each size and repetition that many rows without replacement, those with the least digests of 'size:rep:row_id'. Each task keeps as many rows of a draw as it needs before they are dealt, for sizes that Spark limits before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold)."""
+    draw = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    order = Window.partitionBy("rep").orderBy("rank", "row_id")
+    parts = []
+    for size in sizes:
+        ranked = rows.select("row_id", "x", draw.alias("rep")).withColumn("rank", F.md5(F.concat_ws(":", F.lit(size), "rep", "row_id")))
+        chosen = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
+        parts.append(chosen.select(F.lit(size).alias("size"), "rep", "row_id", "x"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def covariance_rows(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by,) row_id, x: the rows of each group's sample covariance (ddof 1), less their mean row."""
+    # a column of ones beside the signals: its products are the columns' sums and the group's size
+    g = gram(rows.withColumn("x", F.concat("x", F.array(F.lit(1.0)))), by=by).select(*by, "k", "l", "re", "n")
+    last = F.max("k").over(Window.partitionBy(*by))
+    g = g.withColumn("m", last)
+    total = g.where("l = m and k < m").select(*by, F.col("k").alias("j"), F.col("re").alias("sum"))
+    a, b = (total.select(*by, F.col("j").alias(x), F.col("sum").alias(f"sum_{x}")) for x in "kl")
+    cov = g.where("k < m and l < m").join(a, [*by, "k"]).join(b, [*by, "l"])
+    cov = cov.withColumn("c", divide(F.col("re") - F.col("sum_k") * F.col("sum_l") / F.col("n"), (F.col("n") - 1).cast("double")))
+    cov = cov.withColumn("c", F.col("c") - F.avg("c").over(Window.partitionBy(*by, "l")))
+    return cov.groupBy(*by, F.col("k").cast("long").alias("row_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "c"))), lambda s: s["c"]).alias("x"))
 
 
 def kappa_convergence(rows: DataFrame, sizes: list[int], repeats: int) -> DataFrame:
-    """size, kappa: the mean over repetitions of the uncentred kappa of random subsets."""
-    found = kappa(gram(sampled(rows, sizes, repeats), fourier=True, by=["size", "rep"]), by=["size", "rep"])
-    return found.groupBy("size").agg(F.avg("kappa").alias("kappa"))
+    """size, ratio (size to the signals' length), kappa: the mean over repetitions of the kappa of the covariance of random subsets."""
+    by = ["size", "rep"]
+    found = kappa(gram(covariance_rows(sampled(rows, sizes, repeats), by), fourier=True, by=by), by=by)
+    length = rows.agg(F.max(F.size("x")).alias("m"))
+    means = found.groupBy("size").agg(F.avg("kappa").alias("kappa"))
+    return means.crossJoin(F.broadcast(length)).select("size", (F.col("size") / F.col("m")).alias("ratio"), "kappa")
 
 
 def spectrum_inversion(rows: DataFrame, m: int) -> DataFrame:

@@ -92,12 +92,15 @@ def oracle_sql() -> dict[str, str]:
         "kappa_fft": f"{fourier}, {gram()} SELECT {r('kappa', 6, 'kappa')} FROM ({kappa(REAL)})",
         "kappa_of_covariance": f"{cov}, y AS (SELECT a AS row_id, b AS j, c - avg(c) OVER (PARTITION BY b) AS v FROM cov), {dft('y')}, {gram()} SELECT {r('kappa', 6, 'kappa')} FROM ({kappa(MODULUS)})",
         "epsilon": f"{cov}, {eig(True)} SELECT {r(f'sum(CASE WHEN k <> l THEN re * re + im * im ELSE 0 END) / {M}', 6, 'epsilon')} FROM gram",
-        "kappa_convergence": f"""WITH {X}, {dft('x')}, pick AS (
+        "kappa_convergence": f"""WITH {X}, pick AS (
             SELECT size, rep, vec_id AS row_id, row_number() OVER (PARTITION BY size, rep ORDER BY md5(size || ':' || rep || ':' || vec_id), vec_id) AS n
             FROM embeddings, (VALUES (10), (40), (160)) a(size), range(3) b(rep)
-          ), u AS (SELECT size, rep, f.* FROM pick JOIN f USING (row_id) WHERE n <= size),
-          gram AS (SELECT p.size, p.rep, p.k AS k, q.k AS l, sum(p.re * q.re + p.im * q.im) AS re, sum(p.re * q.im - p.im * q.re) AS im FROM u p JOIN u q USING (size, rep, row_id) GROUP BY ALL)
-          SELECT size::BIGINT AS size, {r('avg(kappa)', 6, 'kappa')} FROM ({kappa(MODULUS, 'size, rep')}) GROUP BY size""",
+          ), u AS (SELECT size, rep, row_id, j, v - avg(v) OVER (PARTITION BY size, rep, j) AS v FROM pick JOIN x USING (row_id) WHERE n <= size),
+          t AS (SELECT size, rep, count(DISTINCT row_id) AS rows FROM u GROUP BY ALL),
+          cov AS (SELECT size, rep, p.j AS a, q.j AS b, sum(p.v * q.v) / (any_value(rows) - 1) AS c FROM u p JOIN u q USING (size, rep, row_id) JOIN t USING (size, rep) GROUP BY ALL),
+          y AS (SELECT size, rep, a AS row_id, b AS j, c - avg(c) OVER (PARTITION BY size, rep, b) AS v FROM cov), {dft('y', key='size, rep, row_id')},
+          gram AS (SELECT p.size, p.rep, p.k AS k, q.k AS l, sum(p.re * q.re + p.im * q.im) AS re, sum(p.re * q.im - p.im * q.re) AS im FROM f p JOIN f q USING (size, rep, row_id) GROUP BY ALL)
+          SELECT size::BIGINT AS size, {r(f'size / {M}', 6, 'ratio')}, {r('avg(kappa)', 6, 'kappa')} FROM ({kappa(MODULUS, 'size, rep')}) GROUP BY size""",
         "spectrum_inversion": f"""{fourier}, {CENTRED}, {dft('c', 'fc')},
           lam AS (SELECT k, sum(re * re + im * im) / (SELECT count(*) - 1 FROM embeddings) AS lam FROM fc GROUP BY k),
           nrm AS (SELECT k, sum(re * re + im * im) AS total FROM f GROUP BY k),

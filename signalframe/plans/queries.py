@@ -226,7 +226,7 @@ def epsilon(spark, sf_dir):
 
 @query
 def kappa_convergence(spark, sf_dir):
-    return digits(longs(fourier.kappa_convergence(embedding_rows(spark, sf_dir), [10, 40, 160], 3), "size"), kappa=6)
+    return digits(longs(fourier.kappa_convergence(embedding_rows(spark, sf_dir), fourier.log_sizes(10, 160, 3), 3), "size"), ratio=6, kappa=6)
 
 
 @query

@@ -1,5 +1,9 @@
+import hashlib
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signalframe.functions import cyclic_shift, gaussian, linspace
 from signalframe.operators import epochs, fourier, gabor, lowrank, simulate, ssa
@@ -175,3 +179,57 @@ def test_sources_and_generators(spark):
     assert spark.range(1).select(cyclic_shift(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(-1))).first()[0] == [2, 3, 1]
     assert spark.range(1).select(epochs.label(F.lit("natural_movie_one"))).first()[0] == "Natural Movie One"
     assert spark.range(1).select(simulate.pad(F.array(F.lit(1.0)), 1, 2)).first()[0] == [0, 1, 0, 0]
+
+
+def test_ragged_and_null_signals(spark):
+    good = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, None), (2, [1.0]), (3, [])], "row_id long, x array<double>")
+    got = {r["row_id"]: r["re"] for r in fourier.dft_rows(good).collect()}
+    assert got[1] is None and got[3] == [] and np.allclose(got[0], np.fft.fft([1, 2, 3]).real / np.sqrt(3)) and got[2] == [1.0]
+    for rows in ([(0, [1.0, 2.0, 3.0]), (1, [4.0, 5.0, 6.0, 7.0, 8.0])], [(0, [1.0, None])], [(0, None), (1, [1.0])]):
+        with pytest.raises(Exception, match="signal"):
+            fourier.gram(spark.createDataFrame(rows, "row_id long, x array<double>").coalesce(1)).collect()
+    assert fourier.gram(good.where("false")).count() == 0
+
+
+def test_fourier_eig_of_a_large_matrix(spark):
+    m = 1000
+    c = np.fromfunction(lambda a, b: np.cos((a * 7 + b * 3) % 11), (m, m))
+    long = spark.range(m * m).select(F.floor(F.col("id") / m).cast("int").alias("a"), (F.col("id") % m).cast("int").alias("b")).withColumn("c", F.cos(((F.col("a") * 7 + F.col("b") * 3) % 11).cast("double")))
+    v = np.fft.fft(np.eye(m)) / np.sqrt(m)
+    expected = v.conj().T @ c @ v
+    got = fourier.fourier_eig(long, m).where("k < 3").collect()
+    assert len(got) == 3 * m and np.allclose([complex(r["re"], r["im"]) for r in got], [expected[r["k"], r["l"]] for r in got], atol=1e-8)
+    few, q = c[:6, :6], np.linalg.qr(np.random.default_rng(1).standard_normal((6, 6)))[0]
+    small = spark.createDataFrame([(a, b, float(few[a, b])) for a in range(6) for b in range(6)], "a int, b int, c double")
+    got = fourier.fourier_eig(small, 6, basis=q).collect()
+    assert np.allclose([r["re"] for r in got], [(q.T @ few @ q)[r["k"], r["l"]] for r in got])
+
+
+def test_kappa_convergence_is_of_the_covariance(spark):
+    x = np.random.default_rng(3).standard_normal((30, 5)).cumsum(axis=1)
+    rows = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "row_id long, x array<double>")
+    c = np.cov(x.T)
+    u = np.fft.fft(c - c.mean(axis=0), axis=1) / np.sqrt(5)
+    s = np.abs(u.conj().T @ u)
+    d, o = np.trace(s) / 5, (s.sum() - np.trace(s)) / 20
+    got = fourier.kappa_convergence(rows, [30], 2).first()
+    assert np.isclose(got["kappa"], d / (d + o)) and got["ratio"] == 6
+    assert fourier.log_sizes(10, 1000, 3) == [10, 100, 1000]
+
+
+def test_nearest_join_of_many_rows_of_one_key(spark):
+    samples = spark.range(50_000).select(F.lit(1).alias("c"), (F.col("id") * 2.0).alias("time"), F.col("id").alias("v"))
+    wanted = spark.range(50_000).select(F.lit(1).alias("c"), (F.col("id") * 2.0 + 0.5).alias("time"), F.col("id").alias("n"))
+    began = time.time()
+    assert epochs.nearest_join(wanted, samples, "v", by=["c"]).where("n <> v").count() == 0
+    assert time.time() - began < 60
+
+
+def test_stacked_shuffles_and_skipped_names(spark):
+    rows = spark.range(200).select(F.col("id").alias("row_id"))
+    got = epochs.shuffled(rows, [1, 2]).collect()
+    for seed in (1, 2):
+        order = sorted((hashlib.md5(f"{seed}:{n}".encode()).hexdigest(), n) for n in range(200))
+        assert [n for _, n in order] == [r["row_id"] for r in sorted(got, key=lambda r: r["place"]) if r["seed"] == seed]
+    names = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "name string, n int")
+    assert sorted(r["n"] for r in epochs.unlisted(names, names.where("n = 1")).collect()) == [2, 3]
