@@ -47,7 +47,7 @@ MERGED_WORDS = 300_000
 DISCOUNT = 0.6
 STEPS = 2
 FOLDS, HELD_OUT = 5, 1
-LONG_WORD = 40  # longer words take the plain recursion
+LONG_WORD = 40  # words of so many bytes take the same recursions one by one
 GROUP = 4096
 STEP = 0x9E3779B97F4A7C15
 INVERSE = pow(STEP, -1, 1 << 64)
@@ -144,19 +144,35 @@ class Pieces:
                 out[n] = self.forward_long(b" " + w)[-1]
         return out
 
+    def expected_long(self, word: bytes, out: np.ndarray, count: float = 1.0) -> None:
+        """Adds what ``expected`` gives for one long word to ``out``."""
+        alpha, sizes = self.forward_long(word), sorted(self.by_size)
+        n, total = len(word), alpha[-1]
+        if total == -math.inf:
+            return
+        beta = [-math.inf] * n + [0.0]
+        for start in range(n - 1, -1, -1):
+            ways = []
+            for size in sizes:
+                end = start + size
+                if end > n:
+                    break
+                if beta[end] > -math.inf and (k := self.number.get(word[start:end])) is not None:
+                    ways.append(self.logp[k] + beta[end])
+                    if alpha[start] > -math.inf:
+                        out[k] += count * math.exp(min(0.0, alpha[start] + ways[-1] - total))
+            if ways:
+                top = max(ways)
+                beta[start] = top + math.log(sum(math.exp(w - top) for w in ways))
+
     def expected_counts(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected, by all segmentations of each word."""
         out = np.zeros(len(self.pieces))
         for at, matrix in _by_length(words):
             out += self.expected(matrix, counts[at])
         for n, w in enumerate(words):
             if len(w) >= LONG_WORD:
-                spelt = b" " + w
-                forward, i = self.forward_long(spelt), len(spelt)
-                while i:  # a long word's most probable way back stands for all of them
-                    ways = [(forward[i - s] + self.logp[k], s, k) for s in self.by_size if s <= i and (k := self.number.get(spelt[i - s : i])) is not None]
-                    _, s, k = max(ways)
-                    out[k] += counts[n]
-                    i -= s
+                self.expected_long(b" " + w, out, counts[n])
         return out
 
 

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,3 +77,60 @@ def test_scores_against_plain_code(spark, frequent):
 
 def test_empty_table(spark):
     assert m.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def segmentations(model, word):
+    """Every way to spell a word, as lists of piece numbers."""
+    if not word:
+        yield []
+    for end in range(1, len(word) + 1):
+        if (n := model.number.get(word[:end])) is not None:
+            for rest in segmentations(model, word[end:]):
+                yield [n, *rest]
+
+
+def test_long_words_count_all_segmentations(monkeypatch):
+    model = m.pieces_at(None)
+    words = [b"internationalisation", b"abcabcabc" * 5, "\u65e5\u672c".encode() * 8, b"x" * 60]
+    one_by_one = [model.expected_counts([w], np.ones(1)) for w in words]
+    whole = [model.log_probabilities([w])[0] for w in words]
+    monkeypatch.setattr(m, "LONG_WORD", 1)
+    for w, counts, logp in zip(words, one_by_one, whole, strict=True):
+        assert np.allclose(model.expected_counts([w], np.ones(1)), counts) and np.isclose(model.log_probabilities([w])[0], logp)
+        assert np.isclose(sum(n * len(p) for n, p in zip(counts, model.pieces, strict=True)), len(w) + 1)
+    monkeypatch.setattr(m, "LONG_WORD", 1000)
+    for w, counts in zip(words, one_by_one, strict=True):
+        assert np.allclose(model.expected_counts([w], np.ones(1)), counts)
+
+
+def test_document_scores_by_enumeration(spark):
+    docs = [(n, t) for n, t in enumerate(["The cat sat", "a cat is a cat", "hats at", None, "", "sat hat zq", "The the THE", "is it a hat", "cat zzq", "new words"])]
+    docs.append((None, "a hat"))
+    train = [m.words_of((t or "").encode()) for i, t in docs if not m.held_out(i)]
+    c = Counter(w for d in train for w in d)
+    model = m.pieces_at(None)
+    logp = model.logp
+    for _ in range(m.STEPS):
+        total = np.full(len(logp), 0.01)
+        for w in c:
+            ways = [(sum(logp[k] for k in way), way) for way in segmentations(model, b" " + w)]
+            every = sum(math.exp(x) for x, _ in ways)
+            for x, way in ways:
+                for k in way:
+                    total[k] += math.exp(x) / every
+        logp = np.log(total / total.sum())
+    words, ends = sum(c.values()), len(train)
+    n, v = words + ends, len(c) + 1
+    rest, share = m.DISCOUNT * v / n, (ends + 1) / (words + ends + 2)
+
+    def probability(w):
+        lattice = sum(math.exp(sum(logp[k] for k in way)) for way in segmentations(model, b" " + w))
+        return max(c[w] - m.DISCOUNT, 0) / n + rest * (1 - share) * lattice
+
+    end = (ends - m.DISCOUNT) / n + rest * share
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in docs], "doc_id long, text string, word string, score double")
+    got = {r["doc_id"]: r for r in m.score_documents(df).collect()}
+    for i, t in docs:
+        expected = math.log10(end) + sum(math.log10(probability(w)) for w in m.words_of((t or "").encode()))
+        assert math.isclose(got[i]["score"], expected, rel_tol=1e-9), (i, t)
+        assert got[i]["train_tokens"] == n
