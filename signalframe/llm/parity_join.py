@@ -188,7 +188,7 @@ PACKED = "place int, value binary, node binary, number binary"
 
 
 def shared_elements(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], whole: bool) -> DataFrame:
-    """Rows (node, g, elements): g elements of a node that others have too, and (``whole``) which. A node has several rows. ``sets_of`` gives the nodes and sets of a batch of ``rows``.
+    """Rows (node, g, elements): g elements of a node that others have too, and (``whole``) which. ``sets_of`` gives the nodes and sets of a batch of ``rows``.
 
     A task that holds several nodes with an element knows it is shared, and sends it
     on once, so an element that all documents have is no large group anywhere. Without
@@ -203,7 +203,7 @@ def shared_elements(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterato
         node, element = node[by], np.ascontiguousarray(element[by])
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
         ends = np.append(starts, len(node)).astype(np.int32)
-        lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * 8), pa.py_buffer(element)]) if whole else pa.nulls(len(starts), pa.binary())
+        lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * 8), pa.py_buffer(element)])
         return pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(np.diff(ends).astype(np.int64)), lists], ["node", "g", "elements"])
 
     def sent(element: np.ndarray) -> np.ndarray:
@@ -231,13 +231,26 @@ def shared_elements(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterato
         if held:
             yield from flush()
 
-    def met(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def met(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         element, node, many = (np.concatenate(x) for x in zip(*found, strict=True))
         shared = np.unique(element[many])
         alone = ~many
         element, node, several = starred(element[alone], node[alone])
         use = (several > 1) | np.isin(element, shared)
-        return by_node(node[use], element[use])
+        return by_place(node[use], element[use])
+
+    def by_place(node: np.ndarray, element: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Nodes, how many elements each has, and the elements, as one row for each place of nodes."""
+        place = (mixed(node.view(np.uint64)) % np.uint64(places)).astype(np.int32)
+        by = np.lexsort((node, place))
+        place, node, element = place[by], node[by], element[by]
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+        counts = np.diff(np.append(starts, len(node)))
+        for p in np.unique(place).tolist():
+            a, b = np.searchsorted(place, (p, p + 1))
+            own = slice(*np.searchsorted(starts, (a, b)))
+            columns = [[p], [node[starts[own]].tobytes()], [counts[own].tobytes()], [element[a:b].tobytes() if whole else None]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["place", "node", "g", "elements"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -246,18 +259,42 @@ def shared_elements(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterato
             for place, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place < 0:
                     element, node, _ = opened(*row, kind)
-                    yield by_node(node, element)
+                    yield from by_place(node, element)
                     continue
                 if place != at and held:
-                    yield met(held)
+                    yield from met(held)
                     held = []
                 at = place
                 held.append(opened(*row, kind))
         if held:
-            yield met(held)
+            yield from met(held)
+
+    def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, ...]] = []
+        at = None
+
+        def gathered() -> pa.RecordBatch:
+            node, g = (np.frombuffer(b"".join(x), np.int64) for x in list(zip(*held, strict=True))[:2])
+            if whole:
+                return by_node(np.repeat(node, g), as_array(b"".join(row[2] for row in held)))
+            found, number = np.unique(node, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(number, g, len(found)).astype(np.int64)), pa.nulls(len(found), pa.binary())], ["node", "g", "elements"])
+
+        for batch in it:
+            for place, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at and held:
+                    yield gathered()
+                    held = []
+                at = place
+                held.append(tuple(row))
+        if held:
+            yield gathered()
+
+    def dealt(packed_rows: DataFrame) -> DataFrame:
+        return packed_rows.repartition(places, "place").sortWithinPartitions("place")
 
-    dealt = rows.mapInArrow(spread, PACKED).repartition(places, "place").sortWithinPartitions("place")
-    return dealt.mapInArrow(count, "node long, g long, elements binary")
+    tallies = dealt(rows.mapInArrow(spread, PACKED)).mapInArrow(count, "place int, node binary, g binary, elements binary")
+    return dealt(tallies).mapInArrow(total, "node long, g long, elements binary")
 
 
 def limited(df: DataFrame) -> DataFrame:
@@ -282,19 +319,19 @@ def linkable(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, k: i
         ids = materialise(ids.select(F.col("id").alias(id_col)).distinct())
         return docs.join(limited(ids), id_col, "left_semi")
 
-    counted = shared_elements(documents_of(known).select(F.col(text_col).cast("binary").alias("__text")), of_texts, False).groupBy("node").agg(F.sum("g").alias("g"))
+    counted = shared_elements(documents_of(known).select(F.col(text_col).cast("binary").alias("__text")), of_texts, False)
     able = materialise(counted.join(known, "node").where(den * F.col("g") >= num * F.col("n")).select("node", "id", "n"))
     sets = set_rows(documents_of(able), id_col, text_col, k, seed, True).where("node is not null")
     sets = materialise(sets.select("node", F.col("last").alias("elements")).join(limited(materialise(able.select("node"))), "node", "left_semi"))
-    found = shared_elements(sets, of_sets, True).groupBy("node").agg(F.collect_list("elements").alias("lists")).join(able, "node")
+    found = shared_elements(sets, of_sets, True).join(able, "node")
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(it):
-            elements = [np.unique(as_array(b"".join(x))) for x in part.column(2).to_pylist()]
+            elements = [np.unique(as_array(x)) for x in part.column(2).to_pylist()]
             own = part.column(1).to_numpy() - np.array([len(s) for s in elements])
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(own), pa.array([s.tobytes() for s in elements], pa.binary()), pa.array([short_sketch(s).tobytes() for s in elements], pa.binary())], ["node", "n", "u", "elements", "sketch"])
 
-    live = found.select("node", "n", "lists").mapInArrow(gather, "node long, n long, u long, elements binary, sketch binary")
+    live = found.select("node", "n", "elements").mapInArrow(gather, "node long, n long, u long, elements binary, sketch binary")
     return materialise(live.where(den * (F.col("n") - F.col("u")) >= num * F.col("n")))
 
 
