@@ -11,8 +11,10 @@ phrase words that is shorter than the shortest phrase. The index holds the
 remaining runs, with a separator between them, so that its size follows what could
 match; nothing that could match is left out.
 
-The benchmark is read in blocks of bounded size, each a broadcast phrase table,
-and every shard is searched for every block; documents are never shuffled.
+The benchmark is read in blocks of bounded size, each a broadcast phrase table. With
+one block (4 MB of text) documents aren't shuffled; with more, every block is a pass
+of its own over the documents, and what the passes find is joined by row, so that
+tasks never hold more than one block.
 
 Defined cases: a text that is null or has no words has n_words = 0 and no hits; an
 item without words has no phrase; items that repeat each other are reported each;
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalframe.llm.common import fresh
+from signalframe.llm.common import claim, fresh, materialise
 
 WINDOW = 13
 SHARE = 20  # contaminated: at least one word in so many is hit
@@ -213,85 +215,115 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[new], end[last]
 
 
-def judged(texts: list[bytes | None], blocks: list[Phrases]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+def judged(texts: list[bytes | None], block: Phrases | None) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """For each text: the number of words, the merged spans of hit words and the items that occur."""
-    split = [words_of(t) for t in texts] if len(blocks) > 1 else texts
     sizes = np.zeros(len(texts), np.int64)
-    starts: list[np.ndarray] = []
-    ends: list[np.ndarray] = []
     items: list[list[str]] = [[] for _ in texts]
-    for block in blocks:
-        get, parts = block.vocabulary.get, []
-        for n, t in enumerate(split):
-            words = t if len(blocks) > 1 else words_of(t)
-            sizes[n] = len(words)
-            parts.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-            parts.append(np.zeros(1, np.int64))  # no occurrence spans two texts
-        firsts = np.cumsum(sizes + 1) - sizes - 1
-        phrase, start, end = spans_of(np.concatenate(parts), block) if parts and block.shortest else (np.zeros(0, np.int64),) * 3
-        starts.append(start)
-        ends.append(end)
-        doc = np.searchsorted(firsts, start, "right") - 1
-        pairs = np.unique(doc * max(1, len(block.lengths)) + phrase)
-        doc, phrase = np.divmod(pairs, max(1, len(block.lengths)))
-        lows = np.concatenate([[0], block.owner_ends])
-        seen: dict[int, set[int]] = {}
-        for d, p in zip(doc.tolist(), phrase.tolist(), strict=True):
-            seen.setdefault(d, set()).update(block.owners[lows[p] : lows[p + 1]].tolist())
-        for d, found in seen.items():
-            items[d] += [block.items[i] for i in found]
-    if not blocks:
-        sizes[:] = [len(words_of(t)) for t in texts]
-        firsts = np.cumsum(sizes + 1) - sizes - 1
-    start, end = merge_spans(np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *ends]))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if block is None or not block.shortest:
+        return [(len(words_of(t)), [], []) for t in texts]
+    get, parts = block.vocabulary.get, [np.zeros(0, np.int64)]
+    for n, t in enumerate(texts):
+        words = words_of(t)
+        sizes[n] = len(words)
+        parts.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
+        parts.append(np.zeros(1, np.int64))  # no occurrence spans two texts
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    phrase, start, end = spans_of(np.concatenate(parts), block)
+    doc = np.searchsorted(firsts, start, "right") - 1
+    pairs = np.unique(doc * len(block.lengths) + phrase)
+    doc, phrase = np.divmod(pairs, len(block.lengths))
+    lows = np.concatenate([[0], block.owner_ends])
+    seen: dict[int, set[int]] = {}
+    for d, p in zip(doc.tolist(), phrase.tolist(), strict=True):
+        seen.setdefault(d, set()).update(block.owners[lows[p] : lows[p + 1]].tolist())
+    for d, found in seen.items():
+        items[d] += [block.items[i] for i in found]
+    start, end = merge_spans(start, end)
     doc = np.searchsorted(firsts, start, "right") - 1
     for d, a, b in zip(doc.tolist(), (start - firsts[doc]).tolist(), (end - firsts[doc]).tolist(), strict=True):
         spans[d].append((a, b))
     return list(zip(sizes.tolist(), spans, items, strict=True))
 
 
-def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """The benchmark as broadcast phrase tables, each of about ``block_bytes`` of text."""
+def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[int, Iterator]:
+    """How many blocks there are, and the benchmark as broadcast phrase tables, each of about ``block_bytes`` of text and made when it is asked for; None if the benchmark has no text."""
     sc = benchmark.sparkSession.sparkContext
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    block = F.pmod(F.xxhash64(F.col("item"), F.col("text")), F.lit(max(1, n)))
-    return [sc.broadcast(Phrases([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in rows.where(block == i).collect()], window)) for i in range(n)]
+    n = max(1, -(-size // block_bytes))
+    block = F.pmod(F.xxhash64(F.col("item"), F.col("text")), F.lit(n))
+    made = (Phrases([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in rows.where(block == i).collect()], window) if size else None for i in range(n))
+    return n, (sc.broadcast(x) for x in made)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, chunk_words: int = CHUNK_WORDS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """The columns ``keep`` (all) of ``docs`` and a struct column, whose name is the second value: n_words, n_hit, n_items, items_sha256, contaminated and the removal spans (word numbers, the end excluded)."""
     keep = docs.columns if keep is None else keep
-    name, text = fresh("decontamination", docs.columns), fresh("__text", docs.columns)
-    blocks = phrase_blocks(benchmark, item_col, item_text, window, block_bytes)
+    name, text, row = (fresh(x, docs.columns) for x in ("decontamination", "__text", "__row"))
+    n, blocks = phrase_blocks(benchmark, item_col, item_text, window, block_bytes)
     kind = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, spans: array<struct<start: bigint, end: bigint>>>"
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(span))])
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(text))
-    schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string(f"`{name}` {kind}").fields])
 
     def result(n_words: int, spans: list[tuple[int, int]], items: list[str]) -> dict:
         n_hit = sum(b - a for a, b in spans)
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         return {"n_words": n_words, "n_hit": n_hit, "n_items": len(items), "items_sha256": digest, "contaminated": n_hit > 0 and share * n_hit >= n_words, "spans": [{"start": a, "end": b} for a, b in spans]}
 
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [b.value for b in blocks]
+    def chunks(it: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        """Slices whose texts (column ``at``) have about ``chunk_words`` words, a word taking two bytes at least with what follows it."""
+        claim("decontamination")
         for batch in it:
-            texts, lo = batch.column(len(keep)), 0
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            # a word takes two bytes at least with what follows it
+            lo = 0
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
             limits = np.cumsum(sizes) // (2 * chunk_words)
-            while lo < len(texts):
+            while lo < batch.num_rows:
                 hi = int(np.searchsorted(limits, limits[lo], "right"))
-                found = [result(*x) for x in judged(texts[lo:hi].to_pylist(), phrases)]
-                columns = [batch.column(i)[lo:hi] for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow)], [*keep, name])
+                yield batch.slice(lo, hi - lo)
                 lo = hi
 
-    return given.mapInArrow(search, schema), name
+    if n == 1:
+        shared = next(blocks)
+
+        def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in chunks(it, len(keep)):
+                found = [result(*x) for x in judged(part.column(len(keep)).to_pylist(), shared.value)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found, arrow)], [*keep, name])
+
+        schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string(f"`{name}` {kind}").fields])
+        return given.mapInArrow(search, schema), name
+
+    # a pass for each block, so that one is in memory at a time; what the passes find is joined by row
+    numbered = materialise(given.withColumn(row, F.monotonically_increasing_id()))
+    passes = []
+    for shared in blocks:
+        first = not passes
+
+        def hits(it: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
+            for part in chunks(it, 1):
+                found = [(k, *x) for k, x in zip(part.column(0).to_pylist(), judged(part.column(1).to_pylist(), shared.value), strict=True)]
+                rows = [{"row": k, "n_words": words, "spans": [{"start": a, "end": b} for a, b in spans], "items": items} for k, words, spans, items in found if first or spans]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))]))
+
+        passes.append(materialise(numbered.select(row, text).mapInArrow(hits, "row long, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>")))
+        shared.destroy()
+    every = passes[0]
+    for found in passes[1:]:
+        every = every.unionByName(found)
+    every = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = []
+            for words, spans, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                start, end = merge_spans(*(np.array([s[x] for s in spans], np.int64) for x in ("start", "end")))
+                found.append(result(words, list(zip(start.tolist(), end.tolist(), strict=True)), items))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], [row, name])
+
+    judgements = every.mapInArrow(merged, f"`{row}` long, `{name}` {kind}")
+    return numbered.join(judgements, row).select(*[F.col(f"`{c}`") for c in keep], name), name
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
