@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -18,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one, if all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="signalframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,6 +58,17 @@ def ship_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+_cache: list = [None, None]
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by tasks: a worker that served another operator before drops that one's cache. ``clear`` drops the owner's."""
+    if _cache[0] != owner:
+        if _cache[1] is not None:
+            _cache[1]()
+        _cache[:] = owner, clear
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, the same in every worker; forgets all beyond ``limit`` words."""
 

@@ -25,6 +25,7 @@ import os
 import pickle
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from signalframe.llm.common import fresh, shuffle_partitions
+from signalframe.llm.common import claim, fresh, shuffle_partitions
 
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 FANOUT_BITS = 4
@@ -173,8 +174,9 @@ def _groups(df: DataFrame, id_col: str, text_col: str, payload: bool, budget: in
 
     def reduce_locally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
+            claim("exact dedup")
             for batch in it:
-                for row in batch.to_pylist():
+                for row in chain.from_iterable(batch.slice(lo, 256).to_pylist() for lo in range(0, batch.num_rows, 256)):
                     content = normalised(row[text_col])
                     yield xxhash.xxh3_64_intdigest(content), content, [row[id_col], 1, row if payload else None]
 
@@ -186,8 +188,9 @@ def _groups(df: DataFrame, id_col: str, text_col: str, payload: bool, budget: in
 
     def resolve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
+            claim("exact dedup")
             for batch in it:
-                for row in batch.to_pylist():
+                for row in chain.from_iterable(batch.slice(lo, 256).to_pylist() for lo in range(0, batch.num_rows, 256)):
                     content = normalised(row[text_col]) if payload else row[names["content"]]
                     yield row[names["hash"]] % (1 << 64), content, [row[names["id"]], row[names["count"]], row if payload else None]
 

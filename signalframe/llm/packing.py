@@ -33,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import fresh, materialise
+from signalframe.llm.common import claim, fresh, materialise
 
 CAPACITY = 4096
 END_ID = 1
 LARGE = 8  # lengths over capacity / LARGE are large
 GROUPS = 256
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 800_000
 MARKS = (",", ".")
 SLICE = 512
 
@@ -149,6 +149,7 @@ _encoders: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
+    claim("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordIds(path)
     return _encoders[path]

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import LOWER, WordHashes, materialise, mixed, shuffle_partitions
+from signalframe.llm.common import LOWER, WordHashes, claim, materialise, mixed, shuffle_partitions
 
 SHINGLE = 3
 THRESHOLD = (90, 100)
@@ -140,6 +140,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, wit
 
 
 def slices(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    claim("shingles", _words.clear)
     for batch in it:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)

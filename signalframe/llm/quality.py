@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalframe.llm.common import fresh
+from signalframe.llm.common import claim, fresh
 from signalframe.llm.decontamination import words_of
 
 BUCKETS = 1 << 21
@@ -144,15 +144,17 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_grades: int = 3) -> Model:
-    """Fits on at most ``sample`` rated documents (``ratings``: id, grade), those with the least hashes."""
+    """Fits on at most ``sample`` rated documents (``ratings``: id, grade), those with the least hashes; of rows that repeat an id the one with the least text hash."""
     chosen = ratings.orderBy(F.xxhash64(id_col), id_col).limit(sample).cache()
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in it:
             found = [sorted({bucket(f) for f in features(t)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "columns"])
 
-    joined = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(chosen), id_col).select(F.col("grade").cast("int"), "__text")
+    joined = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(chosen), id_col)
+    joined = joined.groupBy(id_col).agg(F.min("grade").cast("int").alias("grade"), F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("grade", "__text")
     got = joined.mapInArrow(rows, "grade int, columns array<int>").toArrow()
     chosen.unpersist()
     columns = got.column("columns").combine_chunks()
@@ -168,6 +170,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     arrow = pa.struct([("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64())), ("kept", pa.bool_())])
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         model, known = shared.value, {}
 
         def weight(feature: bytes) -> float:

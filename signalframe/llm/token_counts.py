@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalframe.llm.common import claim
+
 CACHED_PARTS = 500_000
 #: The byte-level pre-tokenizer's pattern, as published with the vocabulary.
 PRE_TOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -243,6 +245,7 @@ _counters: dict[str, PrefixCounter] = {}
 
 
 def counter(path: str | None) -> PrefixCounter:
+    claim("token counts", _counters.clear)
     if path is None:
         import public_tokenizers
 
