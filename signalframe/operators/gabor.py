@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,7 @@ class GaborLearner:
     penalty: float = 0.0
     epochs: int = 1000
     seed: int = 0
+    normalize: bool = True
 
     def _step(self, p: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss and gradients by parameters (5 x G) and weights (windows x G)."""
@@ -110,13 +111,18 @@ class GaborLearner:
             dw = dw + self.penalty * (np.sign(w) / norm - np.abs(w).sum() * w / norm**3)
         return loss, dp, dw
 
-    def fit(self, values: DataFrame, group: str = "image_id") -> DataFrame:
-        """group, epoch, loss of each image's own fit: ``values`` has group, window_id, p and v."""
+    def model(self, values: DataFrame, group: str = "image_id") -> DataFrame:
+        """A row for each image with its own fit: group, losses (of each epoch), loss (of what is returned), params (gamma, sigma_x, theta, lam, psi of each filter), window_ids and weights (of each window, one for each filter).
+
+        ``values`` has group, window_id, p and v. An image is fitted by one task.
+        """
         options = self
 
         def train(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf.pivot(index="window_id", columns="p", values="v").to_numpy()
-            x = (x - x.mean()) / x.std(ddof=1)
+            table = pdf.pivot(index="window_id", columns="p", values="v")
+            x = table.to_numpy(float)
+            if options.normalize:
+                x = (x - x.mean()) / x.std(ddof=1)
             rng = np.random.default_rng(options.seed)
             p, w = rng.standard_normal((5, options.n_gabors)), rng.standard_normal((len(x), options.n_gabors))
             moments, history = [np.zeros_like(v) for v in (p, p, w, w)], []
@@ -127,15 +133,37 @@ class GaborLearner:
                     first += 0.1 * (grad - first)
                     second += 0.001 * (grad**2 - second)
                     value -= options.rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-            return pd.DataFrame({group: pdf[group].iloc[0], "epoch": np.arange(options.epochs), "loss": history})
+            return pd.DataFrame({group: [pdf[group].iloc[0]], "losses": [history], "loss": [options._step(p, w, x)[0]], "params": [p.T.tolist()], "window_ids": [table.index.to_list()], "weights": [w.tolist()]})
 
-        return values.groupBy(group).applyInPandas(train, f"`{group}` {values.schema[group].dataType.simpleString()}, epoch int, loss double")
+        kind = values.schema[group].dataType.simpleString()
+        return values.groupBy(group).applyInPandas(train, f"`{group}` {kind}, losses array<double>, loss double, params array<array<double>>, window_ids array<long>, weights array<array<double>>")
 
+    def fit(self, values: DataFrame, group: str = "image_id") -> DataFrame:
+        """group, epoch, loss: the course of ``model``."""
+        return self.model(values, group).select(group, F.posexplode("losses").alias("epoch", "loss"))
+
+
+def fitted_params(model: DataFrame, group: str = "image_id") -> DataFrame:
+    """group, g, gamma, sigma_x, theta, lam, psi: the filters of a ``GaborLearner.model``."""
+    rows = model.select(group, F.posexplode("params").alias("g", "p"))
+    return rows.select(group, "g", *[F.col("p")[n].alias(name) for n, name in enumerate(("gamma", "sigma_x", "theta", "lam", "psi"))])
 
-def crop(image: DataFrame, height: int, width: int) -> DataFrame:
-    return image.where((F.col("y") < height) & (F.col("x") < width))
 
+def fitted_weights(model: DataFrame, group: str = "image_id") -> DataFrame:
+    """group, window_id, g, w: the weights of a ``GaborLearner.model``."""
+    rows = model.select(group, F.explode(F.arrays_zip("window_ids", "weights")).alias("r"))
+    return rows.select(group, F.col("r.window_ids").alias("window_id"), F.posexplode("r.weights").alias("g", "w"))
 
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """``df`` with a number from 0 in each group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+def rebuilt(model: DataFrame, size: int, group: str = "image_id") -> DataFrame:
+    """group, window_id, p, v: the windows that a model gives, each image by its own filters."""
+    names = ["gamma", "sigma_x", "theta", "lam", "psi"]
+    cells = grid(fitted_params(model, group), F.lit(size), [group, "g", *names])
+    value = gabor_value(F.col("gx"), F.col("gy"), *[F.col(n) for n in names])
+    flat = cells.select(group, "g", (F.col("xi") * size + F.col("yi")).cast("int").alias("p"), value.alias("v"))
+    met = fitted_weights(model, group).join(flat, [group, "g"])
+    return met.groupBy(group, "window_id", "p").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def crop(image: DataFrame, height: int, width: int) -> DataFrame:
+    return image.where((F.col("y") < height) & (F.col("x") < width))

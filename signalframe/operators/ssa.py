@@ -73,7 +73,8 @@ class SSA:
         if self.group_size < 1 or self.window < 1:
             raise ValueError("window and group_size must be at least 1")
 
-    def _run(self, signals: DataFrame, schema: str, per_signal) -> DataFrame:
+    def fit(self, signals: DataFrame) -> DataFrame:
+        """signal_id, component, n (the signal's length), sigma, u, v: one decomposition of each signal, from which all else follows. A signal is decomposed by one task. ``n_components`` beyond the rank are zeros."""
         solver = SOLVERS[self.solver] if isinstance(self.solver, str) else self.solver
         window, most = self.window, self.n_components
 
@@ -82,23 +83,18 @@ class SSA:
             if window > len(x):
                 raise ValueError("the window is longer than a signal")
             u, s, v = solver(np.lib.stride_tricks.sliding_window_view(x, window))
-            keep = len(s) if most is None else min(most, len(s))
-            return per_signal(pdf["signal_id"].iloc[0], len(x), u[:, :keep], s[:keep], v[:, :keep])
+            keep = len(s) if most is None else most
+            pad = max(0, keep - len(s))
+            s = np.append(s, np.zeros(pad))[:keep]
+            u, v = (np.pad(a, ((0, 0), (0, pad)))[:, :keep] for a in (u, v))
+            return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "component": np.arange(keep), "n": len(x), "sigma": s, "u": list(u.T), "v": list(v.T)})
 
-        return signals.groupBy("signal_id").applyInPandas(one, schema)
+        kind = signals.schema["signal_id"].dataType.simpleString()
+        return signals.groupBy("signal_id").applyInPandas(one, f"signal_id {kind}, component int, n long, sigma double, u array<double>, v array<double>")
 
     def components(self, signals: DataFrame) -> DataFrame:
         """signal_id, component, t, y, one component for each singular value (0 for those beyond the rank)."""
-        most = self.n_components
-
-        def rows(key, n, u, s, v) -> pd.DataFrame:
-            t = np.arange(n)
-            count = np.minimum(np.minimum(t + 1, n - t), min(len(v), n - len(v) + 1))
-            out = [np.convolve(s[c] * u[:, c], v[:, c]) / count for c in range(len(s))]
-            out += [np.zeros(n)] * max(0, (most or 0) - len(s))
-            return pd.DataFrame({"signal_id": key, "component": np.repeat(np.arange(len(out)), n), "t": np.tile(t, len(out)), "y": np.concatenate(out) if out else np.zeros(0)})
-
-        return self._run(signals, "signal_id string, component int, t long, y double", rows)
+        return expanded(self.fit(signals))
 
     def grouped(self, signals: DataFrame) -> DataFrame:
         """``components`` with neighbours summed, ``group_size`` at a time."""
@@ -107,11 +103,22 @@ class SSA:
 
     def singular(self, signals: DataFrame) -> DataFrame:
         """signal_id, component, sigma, u, v."""
+        return self.fit(signals).drop("n")
+
+
+def expanded(fitted: DataFrame) -> DataFrame:
+    """signal_id, component, t, y: the components of ``SSA.fit``, each from its own row."""
 
-        def rows(key, n, u, s, v) -> pd.DataFrame:
-            return pd.DataFrame({"signal_id": key, "component": np.arange(len(s)), "sigma": s, "u": list(u.T), "v": list(v.T)})
+    @F.pandas_udf("array<double>")
+    def averaged(n: pd.Series, sigma: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for size, s, a, b in zip(n, sigma, u, v, strict=True):
+            t = np.arange(size)
+            count = np.minimum(np.minimum(t + 1, size - t), min(len(b), size - len(b) + 1))
+            out.append(np.convolve(s * np.asarray(a), b) / count)
+        return pd.Series(out)
 
-        return self._run(signals, "signal_id string, component int, sigma double, u array<double>, v array<double>", rows)
+    return fitted.select("signal_id", "component", F.posexplode(averaged("n", "sigma", "u", "v")).alias("t", "y")).withColumn("t", F.col("t").cast("long"))
 
 
 def amplitude_variance(components: DataFrame, trim: int) -> DataFrame:

@@ -49,7 +49,7 @@ def r(expression: str, digits: int, name: str) -> str:
 
 FREQ = f"CASE WHEN 2 * k < {M} THEN k ELSE k - {M} END * 64.0::DOUBLE / {M}"
 SPECTRUM = f"p AS (SELECT k, sum(re * re + im * im) / {M} AS power FROM f GROUP BY k)"
-FILTERS = "fl AS (SELECT DISTINCT (p_size - 1)::BIGINT AS g, 0.5::DOUBLE AS gamma, 2.0::DOUBLE AS sigma, (p_size - 1) * pi() / 8 AS theta, 3.0::DOUBLE + (p_size - 1) / 4.0::DOUBLE AS lam, 0.1::DOUBLE AS psi FROM part WHERE p_size <= 8)"
+FILTERS = "fl AS (SELECT g, 0.5::DOUBLE AS gamma, 1.0::DOUBLE + size / 25.0::DOUBLE AS sigma, size * pi() / 50 AS theta, 2.0::DOUBLE + size / 10.0::DOUBLE AS lam, 0.1::DOUBLE AS psi FROM (SELECT p_partkey % 64 AS g, avg(p_size) AS size FROM part GROUP BY ALL))"
 PART_FILTERS = "fl AS (SELECT p_partkey AS g, 0.5::DOUBLE AS gamma, 1.0::DOUBLE + p_size / 25.0::DOUBLE AS sigma, p_size * pi() / 50 AS theta, 2.0::DOUBLE + p_size / 10.0::DOUBLE AS lam, 0.1::DOUBLE AS psi FROM part)"
 BASIS = """gr AS (SELECT g, gamma, sigma, theta, lam, psi, xi, yi, -4 + xi * 8.0::DOUBLE / 7 AS gx, -4 + yi * 8.0::DOUBLE / 7 AS gy FROM fl, range(8) a(xi), range(8) b(yi)),
 ro AS (SELECT *, gx * cos(theta) + gy * sin(theta) AS al, -gx * sin(theta) + gy * cos(theta) AS ac FROM gr),
@@ -124,7 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "gabor_basis": f"WITH {PART_FILTERS}, {BASIS} SELECT g, xi, yi, {r('v', 8, 'v')} FROM bs",
         "gabor_forward": f"WITH {X}, {FILTERS}, {BASIS}, {MADE} SELECT window_id, p, {r('v', 6, 'v')} FROM made",
         "gabor_mse": f"WITH {X}, {FILTERS}, {BASIS}, {MADE}, {FLAT} SELECT {r('avg(pow(made.v - w.v, 2))', 6, 'mse')} FROM made JOIN w USING (window_id, p)",
-        "gabor_sparsity": f"WITH {X} SELECT {r('0.01::DOUBLE * sum(abs(v)) / sqrt(sum(v * v))', 6, 'penalty')} FROM x WHERE j < 8",
+        "gabor_sparsity": f"WITH {X} SELECT {r('0.01::DOUBLE * sum(abs(v)) / sqrt(sum(v * v))', 6, 'penalty')} FROM x",
         "global_standardize": f"WITH {X}, {FLAT} SELECT window_id, p, {r('(v - avg(v) OVER ()) / stddev_samp(v) OVER ()', 6, 'v')} FROM w",
         "image_windows": f"WITH {X} SELECT (row_id // 8) * 8 + j // 8 AS window_id, (row_id % 8) * 8 + j % 8 AS p, {r('v', 6, 'v')} FROM x",
         "image_crop": f"WITH {X} SELECT row_id AS y, j AS x, {r('v', 6, 'v')} FROM x WHERE j < 48",

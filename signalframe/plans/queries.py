@@ -14,7 +14,7 @@ from signalframe.sources import binned_events, embedding_rows, read_table, to_lo
 FS = 64.0
 WINDOW = 12
 SIZE = 8
-FILTERS = 8
+FILTERS = 64
 SAMPLE, SEED = 200, 7
 
 
@@ -45,9 +45,10 @@ def image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gabor parameters from part sizes: one filter for each of the sizes 1 to ``FILTERS``, which all tables have."""
-    sizes = read_table(spark, sf_dir, "part").where(F.col("p_size") <= FILTERS).groupBy((F.col("p_size") - 1).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.select("g", F.lit(0.5).alias("gamma"), F.lit(2.0).alias("sigma_x"), (F.col("g") * F.pi() / FILTERS).alias("theta"), (3.0 + F.col("g") / 4.0).alias("lam"), F.lit(0.1).alias("psi"))
+    """``FILTERS`` Gabor filters, as many as an embedding has values, whose parameters follow the mean size of the parts dealt to each by their key."""
+    part = read_table(spark, sf_dir, "part")
+    sizes = part.groupBy((F.col("p_partkey") % FILTERS).alias("g")).agg(F.avg("p_size").alias("size"))
+    return sizes.select("g", F.lit(0.5).alias("gamma"), (1.0 + F.col("size") / 25.0).alias("sigma_x"), (F.col("size") * F.pi() / 50).alias("theta"), (2.0 + F.col("size") / 10.0).alias("lam"), F.lit(0.1).alias("psi"))
 
 
 def part_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,8 @@ def part_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """window_id, g, w: the first values of every embedding as weights of the filters."""
-    return to_long(embedding_rows(spark, sf_dir)).where(F.col("j") < FILTERS).select(F.col("row_id").alias("window_id"), F.col("j").alias("g"), F.col("v").alias("w"))
+    """window_id, g, w: the values of every embedding as weights of the filters."""
+    return to_long(embedding_rows(spark, sf_dir)).select(F.col("row_id").alias("window_id"), F.col("j").alias("g"), F.col("v").alias("w"))
 
 
 def image_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,11 +367,25 @@ def gabor_sparsity(spark, sf_dir):
     return digits(gabor.sparsity(weights(spark, sf_dir), 0.01), penalty=6)
 
 
+def label_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, window_id, p, v: the embeddings of each label as an image."""
+    return read_table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("window_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "v"))
+
+
 @query
 def gabor_fit(spark, sf_dir):
     """The loss of each epoch of a fit to the embeddings of each label as an image."""
-    rows = read_table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("window_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "v"))
-    return digits(gabor.GaborLearner(SIZE, 4, epochs=50).fit(rows), loss=4)
+    return digits(gabor.GaborLearner(SIZE, 4, epochs=50).fit(label_images(spark, sf_dir)), loss=4)
+
+
+@query
+def gabor_model(spark, sf_dir):
+    """Fitted models, and the error of the windows rebuilt from their filters and weights beside the loss that the fit ended with."""
+    values = label_images(spark, sf_dir)
+    model = gabor.GaborLearner(SIZE, 4, epochs=50, normalize=False).model(values)
+    met = gabor.rebuilt(model, SIZE).withColumnRenamed("v", "made").join(values, ["image_id", "window_id", "p"])
+    errors = met.groupBy("image_id").agg(F.avg((F.col("made") - F.col("v")) * (F.col("made") - F.col("v"))).alias("error"))
+    return digits(errors.join(model.select("image_id", "loss"), "image_id"), error=4, loss=4)
 
 
 @query

@@ -233,3 +233,24 @@ def test_stacked_shuffles_and_skipped_names(spark):
         assert [n for _, n in order] == [r["row_id"] for r in sorted(got, key=lambda r: r["place"]) if r["seed"] == seed]
     names = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "name string, n int")
     assert sorted(r["n"] for r in epochs.unlisted(names, names.where("n = 1")).collect()) == [2, 3]
+
+
+def test_fitted_gabors_rebuild_the_image(spark):
+    x = np.random.default_rng(0).standard_normal((6, 16))
+    rows = spark.createDataFrame([(1, n, p, float(x[n, p])) for n in range(6) for p in range(16)], "image_id int, window_id long, p int, v double")
+    learner = gabor.GaborLearner(4, 3, epochs=40, normalize=False)
+    model = learner.model(rows).cache()
+    made = {(r["window_id"], r["p"]): r["v"] for r in gabor.rebuilt(model, 4).collect()}
+    error = np.mean([(made[n, p] - x[n, p]) ** 2 for n in range(6) for p in range(16)])
+    got = model.first()
+    assert np.isclose(error, got["loss"]) and got["loss"] < got["losses"][0] and len(got["losses"]) == 40
+    assert gabor.fitted_params(model).count() == 3 and gabor.fitted_weights(model).count() == 18
+
+
+def test_ssa_from_one_decomposition(spark):
+    x = np.sin(np.arange(30)) + np.arange(30) / 10
+    signals = spark.createDataFrame([(7, t, float(v)) for t, v in enumerate(x)], "signal_id long, t long, x double")
+    fitted = ssa.SSA(6, n_components=9).fit(signals).cache()
+    assert fitted.count() == 9 and fitted.where("sigma = 0").count() == 3
+    y = {r["t"]: r["y"] for r in ssa.reconstruct(ssa.expanded(fitted)).collect()}
+    assert np.allclose([y[t] for t in range(30)], x)
