@@ -7,9 +7,11 @@ so that equal edges meet, and the stretches of neighbouring edges with one
 minimizer travel as one packed row. In a bucket, neighbouring repeats whose first
 sources are neighbours too are one nonbranching path; paths of different buckets
 are then joined end to end by document coordinates into spans, and the spans go to
-their documents by an equi-join. An edge's identity is the 64-bit minimizer and 48
-independent bits of the whole window's hash; a path holds only while source
-and copy run in step, which verifies long spans edge by edge.
+their documents by an equi-join. The graph's nodes, the (k-1)-mers, are implied by
+neighbouring coordinates and not made as rows. Edges are compared by hashes: inside
+a task by the 64 bits of the whole window's, between tasks by the 64-bit minimizer
+and 48 bits of the window's; words are not compared again. A path holds only while
+source and copy run in step.
 
 Before the shuffle each task merges the equal edges of the documents it holds: only
 those of the smallest id go on. Minimizers that stand in a large share of the
@@ -19,7 +21,8 @@ their edges are dealt by the whole edge instead.
 Defined cases: texts with fewer words than a window, and null ones, keep all their
 words; rows that repeat an id are documents of the same id, neither removes words of
 the other; rows without an id neither lose words nor take any; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read; ids are whole numbers of any size, and
+others raise a TypeError.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalframe.llm.common import WordHashes, materialise, mixed, shuffle_partitions
 
@@ -224,6 +228,8 @@ def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ch
 
 def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, row (a hash of the text, which tells rows that share an id apart) and text in UTF-8."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).cast("binary").alias("text"))
 
 
@@ -231,14 +237,13 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """doc, row and spans (first word, end word excluded) of what repeats; paths are joined where one begins no later than behind another's last word."""
     known = rows.where("doc is not null")
     paths = materialise(repeat_paths(known, window, anchor, chunk_words))
-    spans = paths.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + window).alias("end")))).alias("paths"))
-    joined = F.expr(
-        "aggregate(paths, cast(array() as array<struct<start: bigint, end: bigint>>), (a, p) -> "
-        "CASE WHEN size(a) > 0 AND p.start <= element_at(a, -1).end "
-        "THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, p.end) AS end))) "
-        "ELSE concat(a, array(p)) END)"
-    )
-    return spans.select("doc", "row", joined.alias("spans"))
+    paths = paths.select("doc", "row", F.col("first").alias("start"), (F.col("last") + window).alias("end")).distinct()
+    along = Window.partitionBy("doc", "row").orderBy("start", "end")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)
+    numbered = paths.withColumn("apart", apart).withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy("doc", "row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, window: int, per_text, schema: str, kinds: list[pa.DataType], chunk_words: int) -> DataFrame:
@@ -266,10 +271,10 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, window: int, per_text,
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """A row for each document: id, n_words, n_removed and kept_sha256, the digest of its kept words joined by blanks."""
     found = _applied(docs, id_col, text_col, window, lambda n, kept, k: (n, n - k, hashlib.sha256(kept).hexdigest()), "c0 long, c1 long, c2 string", [pa.int64(), pa.int64(), pa.string()], chunk_words)
-    return found.select(F.col("doc").alias(id_col), F.col("c0").alias("n_words"), F.col("c1").alias("n_removed"), F.col("c2").alias("kept_sha256"))
+    return found.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("c0").alias("n_words"), F.col("c1").alias("n_removed"), F.col("c2").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """id and the text that is left: the kept words joined by blanks."""
     found = _applied(docs, id_col, text_col, window, lambda n, kept, k: (kept.decode("utf-8", "replace"),), "c0 string", [pa.string()], chunk_words)
-    return found.select(F.col("doc").alias(id_col), F.col("c0").alias(text_col))
+    return found.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("c0").alias(text_col))
