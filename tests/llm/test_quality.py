@@ -46,3 +46,16 @@ def test_edge_cases(spark):
     odd = spark.createDataFrame([(1, None, 0), (None, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
     assert q.report(docs, odd).count() == 3
     assert q.report(docs.limit(0), odd).count() == 0
+
+
+def test_repeated_documents_and_labels(spark):
+    docs, labels = corpus(spark, 40)
+    worst = q.graded(labels.unionByName(labels.selectExpr("doc_id", "1 AS quality", "1 AS toxic").where("doc_id = 2")))
+    assert {r["doc_id"]: r["grade"] for r in worst.collect()}[2] == 0 and worst.count() == 40
+    seen = []
+    whole, q.fit = q.fit, lambda sizes, *rest: seen.append(len(sizes)) or whole(sizes, *rest)
+    try:
+        q.train(docs.unionByName(docs).unionByName(docs), q.graded(labels), sample=25)
+    finally:
+        q.fit = whole
+    assert seen == [25]

@@ -46,3 +46,10 @@ def test_bloom_passes_every_listed_key_and_few_others(spark):
     passed = others.withColumn("block", u.bloom_block(F.col("key"), 64)).join(bloom, "block").where(hit)
     assert passed.where("key like 'host%'").count() == 2000
     assert passed.where("key like 'other%'").count() < 400
+
+
+def test_equal_rules_of_different_verdicts_block(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.a.com/"), (3, "http://c.org/")], "page_id long, url string")
+    rules = spark.createDataFrame([("allow", "a.com", "/"), ("block", "a.com", "/")], "verdict string, host string, path string")
+    got = {r["page_id"]: r["verdict"] for r in u.url_verdicts(pages, rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
