@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from signalframe.operators.fourier import center_columns, gram
 
+LONGEST = 8192  # 512 MB of moments
 
-def gram_matrix(rows: DataFrame) -> np.ndarray:
-    """X'X: m * m numbers."""
-    got = gram(rows).select("k", "l", "re").collect()
-    m = 1 + max((r["k"] for r in got), default=-1)
-    out = np.zeros((m, m))
-    for r in got:
-        out[r["k"], r["l"]] = r["re"]
+
+def gram_matrix(rows: DataFrame, most: int = LONGEST) -> np.ndarray:
+    """X'X: m * m numbers, as Arrow columns. Signals of more than ``most`` values are refused, since the eigenproblem is solved by the driver."""
+    length = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    if length > most:
+        raise ValueError(f"signals of {length} values are longer than {most}")
+    got = gram(rows).select("k", "l", "re").toArrow()
+    out = np.zeros((length, length))
+    out[got.column("k").to_numpy(), got.column("l").to_numpy()] = got.column("re").to_numpy()
     return out
 
 
@@ -29,6 +32,8 @@ def right_vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Singular values, falling, and the right singular vectors in columns, each with its largest entry positive."""
     values, v = np.linalg.eigh(gram_matrix(rows))
     v = v[:, ::-1]
+    if not len(v):
+        return values, v
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     return np.sqrt(np.maximum(values[::-1], 0)), v
 

@@ -254,3 +254,10 @@ def test_ssa_from_one_decomposition(spark):
     assert fitted.count() == 9 and fitted.where("sigma = 0").count() == 3
     y = {r["t"]: r["y"] for r in ssa.reconstruct(ssa.expanded(fitted)).collect()}
     assert np.allclose([y[t] for t in range(30)], x)
+
+
+def test_low_rank_of_nothing_and_of_long_signals(spark):
+    none = spark.createDataFrame([], "row_id long, x array<double>")
+    assert lowrank.singular_values(none).count() == 0 and lowrank.low_rank(none, 2).count() == 0 and lowrank.pca(none, 2).count() == 0
+    with pytest.raises(ValueError, match="longer"):
+        lowrank.gram_matrix(rows_of(spark, [[1, 2, 3]]), most=2)
