@@ -25,14 +25,13 @@ columns of any name pass through ``annotate``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from signalframe.llm.common import claim, fresh, materialise
 
@@ -272,7 +271,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         return {"n_words": n_words, "n_hit": n_hit, "n_items": len(items), "items_sha256": digest, "contaminated": n_hit > 0 and share * n_hit >= n_words, "spans": [{"start": a, "end": b} for a, b in spans]}
 
-    def chunks(it: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    def chunks(it: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         """Slices whose texts (column ``at``) have about ``chunk_words`` words, a word taking two bytes at least with what follows it."""
         claim("decontamination")
         for batch in it:
@@ -287,13 +286,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     if n == 1:
         shared = next(blocks)
 
-        def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in chunks(it, len(keep)):
-                found = [result(*x) for x in judged(part.column(len(keep)).to_pylist(), shared.value)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found, arrow)], [*keep, name])
+        @F.arrow_udf(kind)
+        def search(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in it:
+                batch = pa.RecordBatch.from_arrays([texts], [text])
+                yield pa.array([result(*x) for part in chunks([batch], 0) for x in judged(part.column(0).to_pylist(), shared.value)], arrow)
 
-        schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string(f"`{name}` {kind}").fields])
-        return given.mapInArrow(search, schema), name
+        return docs.select(*[F.col(f"`{c}`") for c in keep], search(F.col(f"`{text_col}`").cast("binary")).alias(name)), name
 
     # a pass for each block, so that one is in memory at a time; what the passes find is joined by row
     numbered = materialise(given.withColumn(row, F.monotonically_increasing_id()))

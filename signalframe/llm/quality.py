@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from signalframe.llm.common import claim, fresh
 from signalframe.llm.decontamination import words_of
@@ -162,14 +161,13 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", good: int = GOOD, sure: float = SURE) -> tuple[DataFrame, str]:
-    """The columns ``keep`` and a struct column, named by the second value: expected_grade, tails (P(grade >= 1), ...) and kept (P(grade >= ``good``) at least ``sure``)."""
-    name, text = fresh("quality", docs.columns), fresh("__text", docs.columns)
+    """The columns ``keep`` and a struct column, named by the second value: expected_grade, tails (P(grade >= 1), ...) and kept (P(grade >= ``good``) at least ``sure``). Only texts go to the Python workers."""
+    name = fresh("quality", docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = "struct<expected_grade: double, tails: array<double>, kept: boolean>"
-    schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string(f"`{name}` {kind}").fields])
     arrow = pa.struct([("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64())), ("kept", pa.bool_())])
 
-    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<expected_grade: double, tails: array<double>, kept: boolean>")
+    def judge(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         claim("quality")
         model, known = shared.value, {}
 
@@ -181,16 +179,14 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 found = known[feature] = model.weights.get(bucket(feature), 0.0)
             return found
 
-        for batch in it:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                scores = np.array([sum(map(weight, sorted(features(t)))) for t in part.column(len(keep)).to_pylist()])
-                tails = model.tails(scores)
-                rows = [{"expected_grade": float(t.sum()), "tails": t.tolist(), "kept": bool(t[good - 1] >= sure)} for t in tails]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(rows, arrow)], [*keep, name])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(text))
-    return given.mapInArrow(judge, schema), name
+        for texts in it:
+            rows = []
+            for lo in range(0, len(texts), 512):
+                scores = np.array([sum(map(weight, sorted(features(t)))) for t in texts[lo : lo + 512].to_pylist()])
+                rows += [{"expected_grade": float(t.sum()), "tails": t.tolist(), "kept": bool(t[good - 1] >= sure)} for t in model.tails(scores)]
+            yield pa.array(rows, arrow)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], judge(F.col(f"`{text_col}`").cast("binary")).alias(name)), name
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
