@@ -51,7 +51,7 @@ from signalframe.llm.common import LOWER, WordHashes, claim, materialise, mixed,
 SHINGLE = 3
 THRESHOLD = (90, 100)
 SPARE = 2  # R
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 600_000
 BROADCAST_BYTES = 16_000_000
 SMALL = 1000
 FEW_LINKS = 500_000  # 8 MB
@@ -375,7 +375,7 @@ def verified(pairs: DataFrame, live: DataFrame, threshold: tuple[int, int]) -> D
     close = materialise(met.mapInArrow(near, "a long, b long"))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, 128):
             both = np.array([len(np.intersect1d(as_array(x), as_array(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
             union = batch.column(2).to_numpy() + batch.column(3).to_numpy() - both
             yield batch.select([0, 1]).filter(pa.array(den * both >= num * union))
@@ -450,7 +450,7 @@ def near_within(members: DataFrame, live: DataFrame, threshold: tuple[int, int])
     groups = members.select("key", "node", "component").join(live.select("node", "n", "u", "sketch"), "node").groupBy("key").agg(F.collect_list(row).alias("rows"))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, 256):
             rows = batch.column(0).flatten()
             ends = np.cumsum(np.append(0, batch.column(0).value_lengths().to_numpy()))
             node, component, n, u = (rows.field(i).to_numpy() for i in range(4))
@@ -473,7 +473,7 @@ def centres(stars: DataFrame, live: DataFrame, sample: int = 64) -> DataFrame:
     """pivot and centre: the elements that most of about ``sample`` of the pivot's nodes have. Any set would do; one near all of them leaves small differences."""
 
     def most(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, 64):
             out = []
             for sets in batch.column(1).to_pylist():
                 elements, count = np.unique(as_array(b"".join(sets)), return_counts=True)
@@ -499,7 +499,7 @@ def difference_entries(stars: DataFrame, live: DataFrame, threshold: tuple[int,
     num, den = threshold
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, 256):
             keys, nodes, leads, weights = [], [], [], []
             for pivot, node, n, u, centre, elements in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 most = (n + n * den // num) * (den - num) // (den + num)
