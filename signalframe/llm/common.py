@@ -13,6 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: What makes Python workers give memory back as soon as they free it.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +53,16 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed (PYTHONPATH of the workers)."""
+    """Lets Python workers import this package where it isn't installed (PYTHONPATH of the workers) and keeps what they and Arrow hold small: batches of 8 MB where the session has Spark's default of 64."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
+    if spark.conf.get(BATCH_BYTES, "").lower().strip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 _cache: list = [None, None]
