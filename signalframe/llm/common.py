@@ -61,7 +61,7 @@ def ship_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     for name, value in WORKER_MEMORY.items():
         environment.setdefault(name, value)
-    if spark.conf.get(BATCH_BYTES, "").lower().strip("b") == str(64 << 20):
+    if spark.conf.get(BATCH_BYTES).lower().strip("b") == str(64 << 20):
         spark.conf.set(BATCH_BYTES, "8m")
 
 
