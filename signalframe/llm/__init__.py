@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, pages and conversations.
+"""Training-data operators: thirteen Spark jobs over documents, pages and conversations.
 
 Nothing outside this subpackage imports it. ``queries`` holds the thin
 ``opN_<name>`` queries; every other module holds one operator with its own

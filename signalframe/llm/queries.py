@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from signalframe.llm import chat, decontamination, exact_dedup, lattice_lm, packing, parity_join, quality, substring_dedup, token_counts, url_filter
+from signalframe.llm import chat, decontamination, exact_dedup, filter_audit, lattice_lm, line_dedup, merkle, packing, parity_join, quality, substring_dedup, token_counts, url_filter
 from signalframe.llm.common import read, ship_package
 
 
@@ -73,6 +73,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in all 120 orders, for each source, by decision diagrams of failure masks."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that five documents or more hold, by keep bitmaps of range-partitioned hashes."""
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, a fifth of them tampered with, by bitmap ranks and slot arrays."""
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -88,7 +103,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lattice_lm, op2_ngram_jaccard_join, op3_url_filters, op4_token_counts, op5_decontamination, op6_best_fit_packing, op7_substring_dedup, op8_quality_classifier, op9_chat_formatting, op10_exact_dedup, pipeline]
+    found = [op1_lattice_lm, op2_ngram_jaccard_join, op3_url_filters, op4_token_counts, op5_decontamination, op6_best_fit_packing, op7_substring_dedup, op8_quality_classifier, op9_chat_formatting, op10_exact_dedup, op11_filter_audit, op12_line_dedup, op13_merkle_manifest, pipeline]
     return {q.__name__: _shipped(q) for q in found}
 
 
@@ -100,6 +115,9 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": OP7_SQL,
         "op9_chat_formatting": OP9_SQL,
         "op10_exact_dedup": OP10_SQL,
+        "op11_filter_audit": OP11_SQL,
+        "op12_line_dedup": OP12_SQL,
+        "op13_merkle_manifest": op13_sql(),
     }
 
 
@@ -201,3 +219,88 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)
 """
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+         regexp_matches(t, '[#$%&*|]'), d.doc_id > min(d.doc_id) OVER (PARTITION BY t)] AS bad, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN g USING (doc_id)
+), c AS (
+  SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS v FROM o, (SELECT unnest(range(1, 6)) AS step)
+), x AS (
+  SELECT c.*, filter_order, coalesce((SELECT min(step) FROM s WHERE s.filter_order = o.filter_order AND bad[v]), 6) AS first FROM c, o
+), r AS (
+  SELECT part, filter_order, step, v, coalesce(sum(n) FILTER (first > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (first = step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (bad[v] AND first < step), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (bad[v] AND len(list_filter(bad, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (first = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (first = step), 0)::BIGINT AS toxic_lost
+  FROM x JOIN s USING (filter_order) GROUP BY part, filter_order, step, v
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, v))::BIGINT AS shapley FROM r
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS w FROM documents
+), l AS (
+  SELECT doc_id, r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, r, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS i FROM d)
+), k AS (
+  SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), j AS (
+  SELECT r, i, line, coalesce(doc_id <> keeper, false) AS gone FROM l LEFT JOIN k USING (k)
+), s AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS body FROM j GROUP BY r
+)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(body, '')) AS kept_sha256 FROM d JOIN s USING (r)
+"""
+
+
+def op13_sql(levels: int = 5, upper: int = 3) -> str:
+    """The manifest of sources of at most 16 ** ``levels`` documents, at most 16 ** ``upper`` of them; a level is a pair of tables."""
+
+    def tree(name: str, high: int) -> list[str]:
+        out = []
+        for k in range(high):
+            out.append(f"{name}r{k} AS MATERIALIZED (SELECT s, i // 16 AS i, list(h ORDER BY i) AS slots, any_value(n) AS n FROM {name}{k} GROUP BY s, i // 16)")
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT s, i, CASE WHEN n = 1 THEN slots[1] ELSE sha256(array_to_string(slots, '')) END AS h, CASE WHEN n = 1 THEN 1 ELSE (n + 15) // 16 END AS n FROM {name}r{k})")
+        return out
+
+    def climb(name: str, high: int, begin: str, s: str, i: str) -> list[str]:
+        out, last = [], begin
+        for k in range(high):
+            at = f"(a.{i} // {16**k}) % 16 + 1"
+            swapped = f"list_transform(slots, lambda d, k: CASE WHEN k = {at} THEN node ELSE d END)"
+            others = f"list_filter(slots, lambda d, k: k <> {at})"
+            out.append(f"{name}p{k} AS (SELECT a.* EXCLUDE (node, proof), CASE WHEN r.n = 1 THEN node ELSE sha256(array_to_string({swapped}, '')) END AS node, CASE WHEN r.n = 1 THEN proof ELSE proof || array_to_string({others}, '') END AS proof FROM {last} a JOIN {name}r{k} r ON r.s = {s} AND r.i = a.{i} // {16 ** (k + 1)})")
+            last = f"{name}p{k}"
+        return out
+
+    def leaf(text: str) -> str:
+        parts = ["doc_id", "source", "lang", "n_chars", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen(({p})::VARCHAR) || ':' || ({p})::VARCHAR, '-')" for p in parts) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # no crc32 in DuckDB: bit by bit over the decimal digits
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"
+    parts = [
+        f"l AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, {leaf('text')} AS leaf, xor({crc}, 4294967295) % 5 = 0 AS hit, {leaf(lowered)} AS forged FROM documents)",
+        "a0 AS (SELECT s, i, leaf AS h, n FROM l)",
+        *tree("a", levels),
+        f"b0 AS (SELECT 0 AS s, s AS i, h, count(*) OVER () AS n FROM a{levels})",
+        *tree("b", upper),
+        "start AS (SELECT doc_id, s, i, leaf, CASE WHEN hit THEN forged ELSE leaf END AS node, '' AS proof FROM l)",
+        *climb("a", levels, "start", "a.s", "i"),
+        *climb("b", upper, f"ap{levels - 1}", "0", "s"),
+    ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = u.h AS verified FROM bp{upper - 1} p JOIN a{levels} t ON t.s = p.s CROSS JOIN b{upper} u"
