@@ -5,35 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalframe.tables import materialise, shuffle_partitions
 
-def nearest_join(wanted: DataFrame, samples: DataFrame, value: str, by: list[str] | None = None, time: str = "time", block: float | None = None) -> DataFrame:
-    """``wanted`` (by, time, ...) with found_time and ``value`` of the nearest sample (by, time, value), the later one of two as near.
 
-    One pass over the union of both sides instead of a join on a range: the last
-    sample before and the first one after each row. Dealt by ``by`` and blocks of
-    time of length ``block`` where that is given: a block then also gets the last
-    sample before it and the first one behind it, which are sums over blocks.
+def nearest_join(wanted: DataFrame, samples: DataFrame, value: str, by: list[str] | None = None, time: str = "time", parts: int | None = None) -> DataFrame:
+    """``wanted`` (by, time, ...) with found_time and ``value`` of the nearest sample (by, time, value), the later one of two as near; of samples of one time the greatest value.
+
+    No join on a range and no group of a key: the union of both sides is cut into
+    ``parts`` ranges of (by, time), by sampled borders, so that a key of any length is
+    many tasks. Each range hands its first and its last sample of each key to its
+    neighbours: carried along the ranges, they enter the next pass as rows, where every
+    row takes the last sample before and the first one behind it. Keys may be null (nulls are one key);
+    a row whose time is null or NaN finds nothing, and such samples are left out.
     """
-    by = by or []
-    left = wanted.withColumn("__rows", F.struct(*[c for c in wanted.columns if c not in (*by, time)]) if set(wanted.columns) - {*by, time} else F.struct(F.lit(0)))
-    sample = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
-    both = left.select(*by, time, "__rows", F.lit(None).cast(f"struct<t: {dict(samples.dtypes)[time]}, v: {dict(samples.dtypes)[value]}>").alias("__s")).unionByName(samples.select(*by, time, F.lit(None).cast(left.schema["__rows"].dataType).alias("__rows"), sample.alias("__s")))
-    keys = [*by]
-    if block is not None:
-        both = both.withColumn("__block", F.floor(F.col(time) / block))
-        keys.append("__block")
+    by, spark = by or [], wanted.sparkSession
+    parts = parts or shuffle_partitions(spark)
+    kinds = dict(samples.dtypes)
+    broken = lambda df: F.col(time).isNull() | (F.isnan(time) if dict(df.dtypes)[time] in ("double", "float") else F.lit(False))
+    rest = [c for c in wanted.columns if c not in (*by, time)]
+    rows = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("__none"))
+    left = wanted.select(*by, time, rows.alias("__rows"), F.lit(None).cast(kinds[value]).alias("__v"))
+    no_rows = F.lit(None).cast(left.schema["__rows"].dataType).alias("__rows")
+    right = samples.where(~broken(samples)).groupBy(*by, time).agg(F.max(value).alias("__v")).select(*by, time, no_rows, "__v")
+    both = left.unionByName(right).withColumn("__tie", F.monotonically_increasing_id())  # rows of one time may go to several ranges
+    dealt = materialise(both.repartitionByRange(parts, *by, time, "__tie").drop("__tie").withColumn("__part", F.spark_partition_id()))
+    sample = F.struct(F.col(time).alias("t"), F.col("__v").alias("v"))
+    ends = dealt.where("__rows IS NULL").groupBy(*by, "__part").agg(F.min(sample).alias("__first"), F.max(sample).alias("__last"))
+    keys = dealt.select(*by, "__part").distinct()  # at most a row for each range and key in it
+    ends = keys.join(ends, [keys[c].eqNullSafe(ends[c]) for c in [*by, "__part"]], "left").select(*[keys[c] for c in [*by, "__part"]], "__first", "__last")
+    up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__part", F.desc("__part")))
+    carried = ends.withColumn("__ahead", F.last("__last", True).over(up)).withColumn("__behind", F.last("__first", True).over(down))
+    carried = carried.select(*by, "__part", F.explode(F.array("__ahead", "__behind")).alias("__s")).where("__s IS NOT NULL")
+    carried = carried.select(*by, F.col("__s.t").alias(time), no_rows, F.col("__s.v").alias("__v"), "__part")
     # both frames grow from their start, the second one over falling times: Spark adds each row to a frame once
-    here, back = Window.partitionBy(*keys).orderBy(time), Window.partitionBy(*keys).orderBy(F.desc(time))
-    found = both.withColumn("__before", F.last("__s", True).over(here.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.last("__s", True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
-    if block is not None:
-        ends = both.groupBy(*keys).agg(F.max("__s").alias("__max"), F.min("__s").alias("__min"))
-        along = Window.partitionBy(*by).orderBy("__block")
-        ends = ends.withColumn("__prev", F.last("__max", True).over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__next", F.first("__min", True).over(along.rowsBetween(1, Window.unboundedFollowing)))
-        found = found.join(ends.drop("__max", "__min"), keys).withColumn("__before", F.coalesce("__before", "__prev")).withColumn("__after", F.coalesce("__after", "__next"))
+    here, back = (Window.partitionBy("__part", *by).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (time, F.desc(time)))
+    found = dealt.unionByName(carried).repartitionById(parts, F.col("__part").cast("int")).withColumn("__s", F.when(F.col("__rows").isNull(), sample))
+    found = found.withColumn("__before", F.last("__s", True).over(here)).withColumn("__after", F.last("__s", True).over(back))
     later = F.col("__before").isNull() | (F.col("__after.t") - F.col(time) <= F.col(time) - F.col("__before.t"))
-    best = F.when(F.col("__after").isNotNull() & later, F.col("__after")).otherwise(F.col("__before"))
-    rest = [c for c in wanted.columns if c not in (*by, time)]
-    return found.where("__rows is not null").withColumn("__best", best).select(*by, time, *[F.col("__rows")[c].alias(c) for c in rest], F.col("__best.t").alias("found_time"), F.col("__best.v").alias(value))
+    best = F.when(broken(wanted), None).when(F.col("__after").isNotNull() & later, F.col("__after")).otherwise(F.col("__before"))
+    found = found.where("__rows IS NOT NULL").withColumn("__best", best)
+    return found.select(*by, time, *[F.col("__rows")[c].alias(c) for c in rest], F.col("__best.t").alias("found_time"), F.col("__best.v").alias(value))
 
 
 def offsets(events: DataFrame, low: int, high: int, time: str = "time") -> DataFrame:

@@ -74,7 +74,7 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = binned_events(spark, sf_dir).where("signal_id = 'view'").select(F.col("t").cast("double").alias("time"), F.col("x").alias("lfp"))
-    return epochs.nearest_join(epochs.offsets(triggers(spark, sf_dir), -2, 2), views, "lfp", block=30.0)
+    return epochs.nearest_join(epochs.offsets(triggers(spark, sf_dir), -2, 2), views, "lfp")
 
 
 def planted_nan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,11 +136,32 @@ def test_nearest_join(spark):
     s = spark.createDataFrame(samples, "c int, time double, v double")
     w = spark.createDataFrame([(int(k), t, n) for k, t, n in wanted], "c int, time double, n int")
     expected = {n: min(((abs(st - q), -st), v) for c, st, v in samples if c == k)[1] for k, q, n in wanted}
-    for block in (None, 7.0):
-        got = {r["n"]: r["v"] for r in epochs.nearest_join(w, s, "v", by=["c"], block=block).collect()}
+    for parts in (None, 1, 7):
+        got = {r["n"]: r["v"] for r in epochs.nearest_join(w, s, "v", by=["c"], parts=parts).collect()}
         assert got == expected
 
 
+def test_nearest_join_of_nulls_and_equal_times(spark):
+    nan = float("nan")
+    s = spark.createDataFrame([(1, 1.0, 5.0), (1, 1.0, 7.0), (1, 1.0, None), (None, 2.0, 8.0), (1, None, 9.0), (1, nan, 3.0), (2, 4.0, None)], "c int, time double, v double")
+    w = spark.createDataFrame([(1, 0.0, 1), (None, 0.0, 2), (1, None, 3), (1, nan, 4), (3, 1.0, 5), (2, 9.0, 6), (1, 1.0, 7), (1, 1.0, 8)], "c int, time double, n int")
+    for parts in (1, 4):
+        got = {r["n"]: (r["found_time"], r["v"]) for r in epochs.nearest_join(w, s, "v", by=["c"], parts=parts).collect()}
+        assert got == {1: (1.0, 7.0), 2: (2.0, 8.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (4.0, None), 7: (1.0, 7.0), 8: (1.0, 7.0)}
+    assert epochs.nearest_join(w, s.where("false"), "v", by=["c"]).where("v IS NULL").count() == 8
+    assert epochs.nearest_join(w.where("false"), s, "v", by=["c"]).count() == 0
+
+
+def test_nearest_join_of_one_long_key(spark):
+    samples = spark.range(200_000).select((F.col("id") * 4).alias("time"), F.col("id").alias("v"))
+    wanted = spark.range(800_000).select(F.col("id").alias("time"), F.col("id").alias("n"))
+    began = time.time()
+    found = epochs.nearest_join(wanted, samples, "v", parts=40)
+    nearest = F.least(F.floor((F.col("n") + 2) / 4), F.lit(199_999))
+    assert found.where(nearest != F.col("v")).count() == 0 and found.count() == 800_000
+    assert time.time() - began < 90
+
+
 def test_gabor(spark):
     learner = gabor.GaborLearner(8, 3, penalty=0.02)
     rng = np.random.default_rng(0)
