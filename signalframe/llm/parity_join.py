@@ -17,8 +17,8 @@ Nodes that have too many of them link with nothing and are left out; the sets of
 others are written once.
 
 Buckets are never expanded into all pairs. Each has a pivot, the member with the
-least share of elements of its own; members are compared with it, by 256-bit
-sketches first, then by their sets, and links make components. Buckets whose members
+least share of elements of its own; members are compared with it, by short
+sketches first, which have eight bits for each element in which linked sets may differ, then by their sets, and links make components. Buckets whose members
 are still in several components go on. Those of at most ``SMALL`` members compare
 the sketches of members of different components inside the task, and emit only near
 pairs. A larger one is dealt anew by how its members differ from what most of them have: two
@@ -55,7 +55,7 @@ CHUNK_ROWS = 600_000
 BROADCAST_BYTES = 16_000_000
 SMALL = 1000
 FEW_LINKS = 500_000  # 8 MB
-WORDS = 4  # of a short sketch
+BITS = 8  # of a short sketch for each element in which its set may differ from one that it links with
 
 _words = WordHashes()
 
@@ -114,13 +114,26 @@ def node_of(elements: np.ndarray, seed: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes(), seed)).astype(np.int64))
 
 
-def short_sketch(elements: np.ndarray) -> np.ndarray:
-    """The parity bits of a whole set in 256 bits."""
-    out = np.zeros(WORDS, np.uint64)
-    np.bitwise_xor.at(out, (elements >> np.uint64(6)) & np.uint64(WORDS - 1), np.uint64(1) << (elements & np.uint64(63)))
+def sketch_words(n: int, threshold: tuple[int, int]) -> int:
+    """64-bit words of the short sketch of a set of ``n``, a power of 2: so many that bits rarely meet while sets may still link."""
+    num, den = threshold
+    differ = 2 * n * (den - num) // (den + num)
+    return max(4, 1 << (BITS * differ // 64).bit_length())
+
+
+def short_sketch(elements: np.ndarray, words: int = 4) -> np.ndarray:
+    """The parity bits of a whole set in ``words`` words, a power of 2."""
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (elements >> np.uint64(6)) & np.uint64(words - 1), np.uint64(1) << (elements & np.uint64(63)))
     return out
 
 
+def same_width(sketches: list[bytes]) -> np.ndarray:
+    """Short sketches as rows of the least width among them; wider ones are folded, which keeps the bound."""
+    words = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(as_array(s).reshape(-1, words), axis=0) for s in sketches])
+
+
 def as_array(value: bytes) -> np.ndarray:
     return np.frombuffer(value, np.uint64)
 
@@ -330,7 +343,7 @@ def linkable(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, k: i
         for part in slices(it):
             elements = [np.unique(as_array(x)) for x in part.column(2).to_pylist()]
             own = part.column(1).to_numpy() - np.array([len(s) for s in elements])
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(own), pa.array([s.tobytes() for s in elements], pa.binary()), pa.array([short_sketch(s).tobytes() for s in elements], pa.binary())], ["node", "n", "u", "elements", "sketch"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(own), pa.array([s.tobytes() for s in elements], pa.binary()), pa.array([short_sketch(s, sketch_words(n, threshold)).tobytes() for n, s in zip(part.column(1).to_pylist(), elements, strict=True)], pa.binary())], ["node", "n", "u", "elements", "sketch"])
 
     live = found.select("node", "n", "elements").mapInArrow(gather, "node long, n long, u long, elements binary, sketch binary")
     return materialise(live.where(den * (F.col("n") - F.col("u")) >= num * F.col("n")))
@@ -362,10 +375,10 @@ def verified(pairs: DataFrame, live: DataFrame, threshold: tuple[int, int]) -> D
     num, den = threshold
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             n, m, u, v = (batch.column(i).to_numpy() for i in range(2, 6))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WORDS) for i in (6, 7))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = map(same_width, zip(*(batch.column(i).to_pylist() for i in (6, 7)), strict=True))
+            apart = np.array([np.bitwise_count(x ^ y).sum(dtype=np.int64) for x, y in both], np.int64)
             yield batch.select([0, 1]).filter(pa.array(apart + u + v <= (n + m) * (den - num) // (den + num)))
 
     def end(x: str, *columns: str) -> DataFrame:
@@ -454,14 +467,15 @@ def near_within(members: DataFrame, live: DataFrame, threshold: tuple[int, int])
             rows = batch.column(0).flatten()
             ends = np.cumsum(np.append(0, batch.column(0).value_lengths().to_numpy()))
             node, component, n, u = (rows.field(i).to_numpy() for i in range(4))
-            sketch = np.frombuffer(b"".join(rows.field(4).to_pylist()), np.uint64).reshape(-1, WORDS)
+            sketches = rows.field(4).to_pylist()
             out = [np.zeros((0, 2), np.int64)]
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                sketch = same_width(sketches[lo:hi])
                 for i in range(lo, hi - 1):
                     most = (n[i] + n[i + 1 : hi]) * (den - num) // (den + num) - u[i] - u[i + 1 : hi]
                     near = np.flatnonzero((component[i] != component[i + 1 : hi]) & (most > 0))
                     if len(near):
-                        near = near[np.bitwise_count(sketch[i] ^ sketch[i + 1 + near]).sum(axis=1, dtype=np.int64) <= most[near]]
+                        near = near[np.bitwise_count(sketch[i - lo] ^ sketch[i - lo + 1 + near]).sum(axis=1, dtype=np.int64) <= most[near]]
                         out.append(np.stack([np.minimum(node[i], node[i + 1 + near]), np.maximum(node[i], node[i + 1 + near])], axis=1))
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -562,5 +576,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component."""
     found = similar_components(docs, id_col, text_col, k, threshold)
-    kept = materialise(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("first"))
+    gone = materialise(first.where(~F.col("first")).select(id_col))
+    return docs.join(limited(gone), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

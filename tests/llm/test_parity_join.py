@@ -127,6 +127,9 @@ def test_sketches_bound_the_symmetric_difference():
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 300, rng.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         assert np.bitwise_count(p.short_sketch(x) ^ p.short_sketch(y)).sum() <= len(np.setxor1d(x, y))
+        for words, other in ((16, 16), (8, 32)):
+            a, b = p.same_width([p.short_sketch(x, words).tobytes(), p.short_sketch(y, other).tobytes()])
+            assert np.array_equal(a, p.short_sketch(x, min(words, other))) and np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
 
 
 def test_components_of_a_long_path(spark):
