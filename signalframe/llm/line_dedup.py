@@ -9,10 +9,10 @@ evenly, so their ranges are cut by arithmetic instead of by sampling: a range is
 partition, which one sort orders by hash, then id (falling), then position. Streaming
 over it in that order, the first row of a hash is the document that keeps its lines, and
 a row whose id differs from the last one's is the first occurrence in another document.
-A hash that holds more lines than a quarter of a partition's share, found by a
-heavy-hitter sketch of all lines, is dealt over all ranges by id; each gives its number of
-documents and its largest id, one row each, and their sum and greatest are the verdict.
-There are at most four such hashes for each partition.
+A hash that holds more lines than a quarter of a partition's share, as a sample of lines
+says, is dealt over all ranges by id; each gives its number of documents and its largest
+id, one row each, and their sum and greatest are the verdict. There are at most eight such
+hashes for each partition, and the result doesn't depend on which they are.
 
 What comes out is a row for each document that loses lines: a compressed bitmap, the
 64-bit words of 64 lines each that have a dropped line, bits of kept lines set; a word
@@ -60,17 +60,16 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
 
 
 def frequent(lines: DataFrame, parts: int) -> DataFrame:
-    """h1 of the hashes with more lines than a quarter of a partition's share, ``4 * parts`` at most, and of some others. Bounded sketches, merged."""
-    most = min(4 * parts, 500_000)
-    tracked = min(1_000_000, max(1024, 16 * most))
-    top = lines.agg(F.expr(f"approx_top_k(h1, {most}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
-    return top.select(F.explode("top").alias("top"), "n").where(F.col("top.count") * most > F.col("n")).select(F.col("top.item").alias("h1"))
+    """h1 of the hashes that hold more lines than a quarter of a partition's share, by a hashed sample of about 400 lines for each partition; ``8 * parts`` rows at most. It only decides where lines go."""
+    n, sample = lines.count(), 400 * parts
+    share = F.pmod(F.xxhash64("h1", "h2", "id", "version", "pos"), F.lit(1 << 30)) * F.lit(n) < F.lit(sample << 30)
+    return lines.where(share).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(n, sample) // (8 * parts)).select("h1")
 
 
 def repeated_lines(lines: DataFrame, least_docs: int) -> DataFrame:
     """h1, h2, id, version, pos, keeper, docs of the lines of keys that so many documents hold."""
     parts = shuffle_partitions(lines.sparkSession)
-    hot = F.broadcast(frequent(lines, parts).withColumn("hot", F.lit(True)))  # 4 * parts rows at most
+    hot = F.broadcast(frequent(lines, parts).withColumn("hot", F.lit(True)))  # 8 * parts rows at most
     met = lines.join(hot, "h1", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     at = F.shiftright(F.shiftrightunsigned("h1", 33) * parts, 31)  # the range of a hash, as an unsigned number
     spread = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0))
