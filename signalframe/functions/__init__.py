@@ -65,8 +65,10 @@ def z_score(x: Column) -> Column:
 
 
 def diagonal_count(t: Column, n: Column, length: Column | int, compat: bool = False) -> Column:
-    """How many cells of the trajectory matrix of a series of n values, windows of ``length``, lie on anti-diagonal t; ``compat`` follows the original's own formula, which is lower where n < 3 * length - 2."""
+    """How many cells of the trajectory matrix of a series of n values, windows of ``length``, lie on anti-diagonal t; ``compat`` follows the original's own formula, which is lower where n < 3 * length - 2 and an error where n < 2 * length - 1."""
     length = length if isinstance(length, Column) else F.lit(length)
     rows = n - length + 1
+    if compat:  # as the original, which has no count here
+        rows = F.when(rows - length + 1 < 1, F.raise_error(F.lit("a series must have at least 2 * length - 1 values"))).otherwise(rows)
     middle = F.least(rows - length + 1, length) if compat else F.least(rows, length)
     return F.least(t + 1, n - t, middle)
