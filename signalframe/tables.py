@@ -20,14 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts lineage, survives lost executors. The table is removed when the driver ends."""
+def written(df: DataFrame) -> tuple[str, DataFrame]:
+    """The path of a new table in the shared folder and the table read again. It is removed when the driver ends, or by ``remove``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: cuts lineage, survives lost executors."""
+    return written(df)[1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
