@@ -4,17 +4,21 @@ Each stage gets what its predecessor kept, read from Parquet, and returns the ro
 that stay, with the columns of documents; the last returns packed pieces. SQL can't
 express the classifier and the tokenizer, so ORACLE_SQL is None and the stages are
 tested against plain code.
+
+Defined cases: a null text is empty; a row without id goes where a row with one has an
+equal text, and else passes the stages that compare documents; rows that repeat an id are judged each, but the parity join keeps all rows of
+an id or none; columns of any other name pass through all stages but the last; an
+empty table gives an empty result of each stage's columns.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from signalframe.llm import decontamination, exact_dedup, packing, parity_join, quality
-from signalframe.llm.common import read, shared_dir, ship_package
+from signalframe.llm.common import materialise, read, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,9 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written to the shared folder and read by the next."""
     docs = read(spark, sf_dir, "documents")
-    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for n, (name, stage) in enumerate(STAGES):
-        path = f"{place}/{n}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
     return docs

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from signalframe.tables import materialise, shared_dir, shuffle_partitions  # noqa: F401
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: What makes Python workers give memory back as soon as they free it.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
@@ -22,28 +22,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one, if all runs in one process (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="signalframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with underscores added until no column is called so."""
     taken = {c.lower() for c in columns}
@@ -76,6 +54,14 @@ def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
         _cache[:] = owner, clear
 
 
+def release() -> None:
+    """Called by tasks at their end: drops the worker's caches and gives freed memory back, where the C library can (glibc)."""
+    claim("")
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, the same in every worker; forgets all beyond ``limit`` words."""
 

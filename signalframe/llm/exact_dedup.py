@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from signalframe.llm.common import claim, fresh, shuffle_partitions
+from signalframe.llm.common import claim, fresh, release, shuffle_partitions
 
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 FANOUT_BITS = 4
@@ -185,6 +185,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, payload: bool, budget: in
                 yield {names["hash"]: signed(h), names["id"]: key, names["count"]: count} | (row if payload else {names["content"]: content})
 
         yield from batches(rows(), inner_arrow)
+        release()
 
     def resolve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
@@ -199,6 +200,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, payload: bool, budget: in
                 yield (row or {}) | {names["hash"]: signed(h), names["id"]: key, names["count"]: count} | ({} if payload else {"text_sha256": hashlib.sha256(content).hexdigest()})
 
         yield from batches(rows(), outer_arrow)
+        release()
 
     taken = df if payload else df.select(id_col, text_col)
     dealt = taken.mapInArrow(reduce_locally, inner).repartition(shuffle_partitions(df.sparkSession), names["hash"])

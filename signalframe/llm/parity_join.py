@@ -18,7 +18,7 @@ others are written once.
 
 Buckets are never expanded into all pairs. Each has a pivot, the member with the
 least share of elements of its own; members are compared with it, by short
-sketches first, which have eight bits for each element in which linked sets may differ, then by their sets, and links make components. Buckets whose members
+sketches first, which have four bits and more for each element in which linked sets may differ, then by their sets, and links make components. Buckets whose members
 are still in several components go on. Those of at most ``SMALL`` members compare
 the sketches of members of different components inside the task, and emit only near
 pairs. A larger one is dealt anew by how its members differ from what most of them have: two
@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import LOWER, WordHashes, claim, materialise, mixed, shuffle_partitions
+from signalframe.llm.common import LOWER, WordHashes, claim, materialise, mixed, release, shuffle_partitions
 
 SHINGLE = 3
 THRESHOLD = (90, 100)
@@ -55,7 +55,7 @@ CHUNK_ROWS = 600_000
 BROADCAST_BYTES = 16_000_000
 SMALL = 1000
 FEW_LINKS = 500_000  # 8 MB
-BITS = 8  # of a short sketch for each element in which its set may differ from one that it links with
+BITS = 4  # of a short sketch for each element in which its set may differ from one that it links with
 
 _words = WordHashes()
 
@@ -157,6 +157,7 @@ def slices(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordB
     for batch in it:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    release()
 
 
 def starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

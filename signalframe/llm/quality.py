@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import claim, fresh
+from signalframe.llm.common import claim, fresh, release
 from signalframe.llm.decontamination import words_of
 
 BUCKETS = 1 << 21
@@ -151,6 +151,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         for batch in it:
             found = [sorted({bucket(f) for f in features(t)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "columns"])
+        release()
 
     joined = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(chosen), id_col)
     joined = joined.groupBy(id_col).agg(F.min("grade").cast("int").alias("grade"), F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("grade", "__text")
@@ -185,6 +186,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 scores = np.array([sum(map(weight, sorted(features(t)))) for t in texts[lo : lo + 512].to_pylist()])
                 rows += [{"expected_grade": float(t.sum()), "tails": t.tolist(), "kept": bool(t[good - 1] >= sure)} for t in model.tails(scores)]
             yield pa.array(rows, arrow)
+        known.clear()
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], judge(F.col(f"`{text_col}`").cast("binary")).alias(name)), name
 
