@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from signalframe.functions import divide, frequency
+from signalframe.functions import NAN, divide, frequency
 from signalframe.tables import materialise
 
 BATCH = 4096
@@ -452,4 +452,5 @@ def spectrum_inversion(rows: DataFrame, m: int) -> DataFrame:
     unit = F.sqrt(divide(F.col("lam"), (F.col("n") - 1).cast("double")))
     scale = scale.select("k", F.coalesce(F.try_divide(unit, F.sqrt("total")), F.lit(0.0)).alias("s"))
     packed = scale.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda s: s["s"]).alias("s"))
-    return rows.crossJoin(F.broadcast(packed)).select("row_id", F.posexplode(recolour("x", "s")).alias("j", "v"))
+    made = rows.crossJoin(F.broadcast(packed)).select("row_id", F.posexplode(recolour("x", "s")).alias("j", "v"))
+    return made.withColumn("v", F.coalesce("v", F.lit(NAN)))  # NaN leaves Python as null

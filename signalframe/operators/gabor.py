@@ -50,12 +50,12 @@ def basis(params: DataFrame, size: int, key: str = "g") -> DataFrame:
 
 
 def windows(image: DataFrame, width: int, size: int, layout: str = "flat") -> DataFrame:
-    """window_id, p, v: the image in windows of size * size pixels, as runs of the flattened rows ('flat') or as square tiles ('tile'). Raises where the image isn't a whole number of windows."""
+    """window_id, p, v: the image in windows of size * size pixels, as runs of the flattened rows ('flat') or as square tiles ('tile'). Raises where the image isn't a whole number of windows, or of tiles side by side; the last row of tiles may be lower than others."""
     area = size * size
     height, most = image.agg(F.max("y") + 1, F.max("x") + 1).first()
     if (most or 0) > width:
         raise ValueError(f"the image has {most} columns, not {width}")
-    if ((height or 0) * width) % area or (layout != "flat" and (width % size or (height or 0) % size)):
+    if ((height or 0) * width) % area if layout == "flat" else width % size:
         raise ValueError(f"an image of {height} * {width} pixels has no whole number of windows of {size} * {size}")
     if layout == "flat":
         at = F.col("y") * width + F.col("x")

@@ -274,7 +274,7 @@ def long_components(signals: DataFrame, fitted: DataFrame, window: int, size: in
     salts = shuffle_partitions(signals.sparkSession)  # chunks of one signal go to several tasks
 
     def along(pdf: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"signal_id": [], "component": [], "t": [], "y": []})]
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
         vectors = vectors.sort_values("component")
         for chunk, part in pdf.groupby("chunk"):
             name, t = part["signal_id"].iloc[0], part["t"].to_numpy()
@@ -289,8 +289,10 @@ def long_components(signals: DataFrame, fitted: DataFrame, window: int, size: in
             transform = 1 << (len(x) + window).bit_length()
             for component, v in zip(vectors["component"], vectors["v"], strict=True):
                 sums = np.fft.irfft(np.fft.rfft(ahead(np.asarray(v)), transform) * np.fft.rfft(np.asarray(v), transform), transform)
-                out.append(pd.DataFrame({"signal_id": name, "component": component, "t": own, "y": sums[own - first] / count}))
-        return pd.concat(out)
+                found.append((np.full(len(own), component, np.int32), own, sums[own - first] / count))
+        component, t, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        some = pdf["signal_id"].iloc[0] if len(t) else None
+        return pd.DataFrame({"signal_id": pd.Series([some] * len(t), dtype=object), "component": component, "t": t, "y": y})
 
     chunks = in_chunks(signals, size, window - 1, window - 1).withColumn("salt", F.col("chunk") % salts)
     copies = fitted.select("signal_id", "component", "n", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

@@ -114,7 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "matrix_multiply": f"{cov} SELECT p.a AS i, q.b AS j, {r('sum(p.c * q.c)', 8, 'v')} FROM cov p JOIN cov q ON p.b = q.a GROUP BY ALL",
         "matrix_trace": f"{cov} SELECT {r('sum(c)', 8, 'trace')} FROM cov WHERE a = b",
         "hankel_embed": f"WITH {SERIES}, {HANKEL} SELECT signal_id, i, j, {r('x', 6, 'x')} FROM h",
-        "hankel_average": f"WITH {SERIES} SELECT signal_id, t, {r('x', 6, 'y')} FROM s",
+        "hankel_average": f"WITH {SERIES}, {HANKEL} SELECT signal_id, i + j AS t, {r('avg(x)', 6, 'y')} FROM h GROUP BY signal_id, i + j",
         "lag_covariance": f"WITH {SERIES}, {HANKEL} SELECT p.signal_id, p.j AS i, q.j AS j, {r('sum(p.x * q.x)', 4, 'c')} FROM h p JOIN h q USING (signal_id, i) GROUP BY ALL",
         "diagonal_counts": f"WITH {SERIES} {counts.format(middle='n - 49, 50')}",
         "diagonal_counts_compat": f"WITH {SERIES} {counts.format(middle='n - 98, 50')}",
@@ -138,6 +138,17 @@ def oracle_sql() -> dict[str, str]:
         "shuffled_rows": "SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5('7:' || vec_id), vec_id) - 1 AS place FROM embeddings",
         "label_format": "SELECT event_type || '_of_' || user_id || '_users' AS name, upper(event_type[1]) || event_type[2:] || ' Of ' || user_id || ' Users' AS label, count(*) AS n FROM events GROUP BY event_type, user_id",
         "row_gather": f"WITH {X} SELECT row_id, j, {r('v', 6, 'v')} FROM x WHERE row_id % 10 = 0",
+        "stacked_shuffles": "SELECT seed, vec_id AS row_id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || vec_id), vec_id) - 1 AS place FROM embeddings, range(20) s(seed)",
+        "padded_rows": f"WITH {SERIES}, n AS (SELECT signal_id, max(t) + 1 AS n FROM s GROUP BY signal_id), c AS (SELECT signal_id, unnest(range(n + 50)) AS j FROM n) SELECT signal_id, j, {r('coalesce(x, 0)', 6, 'v')} FROM c LEFT JOIN (SELECT signal_id, t + 20 AS j, x FROM s) USING (signal_id, j)",
+        "first_row": f"SELECT event_type, event_id, user_id, {r('value', 6, 'value')} FROM events WHERE value >= 1 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) = 1",
+        "skipped_names": f"WITH {SERIES} SELECT event_type AS name, count(*) AS n, min(event_id) AS first_id FROM events WHERE event_type <> 'error' AND event_type NOT IN (SELECT signal_id FROM s WHERE x = 0) GROUP BY event_type",
+        "svd_energy": f"WITH {X} SELECT {r('sum(v * v)', 4, 'energy')} FROM x",
+        "subspace_energy": f"WITH {X} SELECT {r('sum(v * v)', 4, 'energy')} FROM x",
+        "svd_rebuilt": f"WITH {X} SELECT row_id, j, {r('v', 4, 'v')} FROM x",
+        "low_rank_full": f"WITH {X} SELECT row_id, j, {r('v', 4, 'v')} FROM x",
+        "pca_variance": f"WITH {X} SELECT {r('sum(c)', 4, 'variance')} FROM (SELECT var_samp(v) AS c FROM x GROUP BY j)",
+        "ssa_energy": f"WITH {SERIES}, {HANKEL} SELECT signal_id, {r('sum(x * x)', 2, 'energy')} FROM h GROUP BY signal_id",
+        "ssa_long_energy": f"WITH {SERIES}, {HANKEL} SELECT signal_id, {r('sum(x * x)', 2, 'energy')} FROM h GROUP BY signal_id",
         "row_zscore": f"WITH {X}, {scored} SELECT row_id, j, {r('v', 6, 'v')} FROM z",
     }
     return sql

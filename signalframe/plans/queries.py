@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalframe import functions as X
 from signalframe.operators import epochs, fourier, gabor, lowrank, simulate, ssa
-from signalframe.sources import binned_events, embedding_rows, read_table, to_long, validate_signals
+from signalframe.sources import binned_events, embedding_rows, first_rows, read_table, to_long, validate_signals, within
 
 FS = 64.0
 WINDOW = 12
@@ -467,6 +468,109 @@ def shuffled_rows(spark, sf_dir):
     return longs(epochs.shuffled(embedding_rows(spark, sf_dir), SEED).select("row_id", "place"), "place")
 
 
+@query
+def stacked_shuffles(spark, sf_dir):
+    """Twenty seeded orders of all signals, one above another."""
+    return longs(epochs.shuffled(embedding_rows(spark, sf_dir), list(range(20))).select("seed", "row_id", "place"), "seed", "place")
+
+
+@query
+def padded_rows(spark, sf_dir):
+    """The binned event series between zeros."""
+    rows = series_rows(spark, sf_dir).select("signal_id", simulate.pad(F.col("x"), 20, 30).alias("x"))
+    return digits(longs(rows.select("signal_id", F.posexplode("x").alias("j", "v")), "j"), v=6)
+
+
+@query
+def first_row(spark, sf_dir):
+    """The first event of each type of those that pass quality limits, of which one is switched off."""
+    events = read_table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value")
+    found = first_rows(within(events, value=(1.0, math.inf), user_id=(-math.inf, math.inf)), ["event_id"], ["event_type"])
+    return digits(found, value=6)
+
+
+@query
+def skipped_names(spark, sf_dir):
+    """The events whose type isn't among those of which a series has an empty bin or the type is an error."""
+    events = read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"))
+    empty = binned_events(spark, sf_dir).where("x = 0").select(F.col("signal_id").alias("name"))
+    skipped = empty.unionByName(events.where("name = 'error'").select("name"))
+    return epochs.unlisted(events, skipped).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query
+def svd_energy(spark, sf_dir):
+    """The squares of all singular values summed, which are the squares of all values."""
+    return lowrank.singular_values(embedding_rows(spark, sf_dir)).agg(X.rounded(F.sum(F.col("sigma") * F.col("sigma")), 4).alias("energy"))
+
+
+@query
+def svd_rebuilt(spark, sf_dir):
+    """Every signal rebuilt from left vectors, singular values and right vectors."""
+    u, s, v = lowrank.svd(embedding_rows(spark, sf_dir))
+    return digits(longs(to_long(lowrank.projected(u.withColumnRenamed("u", "x"), (v * s).T, "x")), "j"), v=4)
+
+
+@query
+def low_rank_full(spark, sf_dir):
+    """The approximation of full rank, which is the signals."""
+    rows = embedding_rows(spark, sf_dir)
+    return digits(longs(to_long(lowrank.low_rank(rows, validate_signals(rows))), "j"), v=4)
+
+
+@query
+def subspace_energy(spark, sf_dir):
+    """The energy that randomised subspace iteration finds with as many vectors as signals have values."""
+    rows = embedding_rows(spark, sf_dir)
+    sigma, _ = lowrank.subspace(rows, validate_signals(rows), rounds=1)
+    return spark.createDataFrame([(round(float((sigma**2).sum()), 4),)], "energy double")
+
+
+@query
+def pca_variance(spark, sf_dir):
+    """The variances of all principal components summed, which are those of all columns."""
+    rows = embedding_rows(spark, sf_dir)
+    found = lowrank.pca(rows, validate_signals(rows)).select("component", "variance").distinct()
+    return found.agg(X.rounded(F.sum("variance"), 4).alias("variance"))
+
+
+@query
+def ssa_energy(spark, sf_dir):
+    """The squared singular values of each series summed, which are the squares of the trajectory matrix."""
+    found = _decomposition().singular(binned_events(spark, sf_dir))
+    return found.groupBy("signal_id").agg(X.rounded(F.sum(F.col("sigma") * F.col("sigma")), 2).alias("energy"))
+
+
+@query
+def ssa_long_energy(spark, sf_dir):
+    """The same of a decomposition in chunks of 50 values."""
+    found = _decomposition().fit_long(binned_events(spark, sf_dir), 50)
+    return found.groupBy("signal_id").agg(X.rounded(F.sum(F.col("sigma") * F.col("sigma")), 2).alias("energy"))
+
+
+@query
+def ssa_long_components(spark, sf_dir):
+    """The leading components of every series, decomposed and convolved in chunks of 50 values."""
+    series = binned_events(spark, sf_dir)
+    fitted = ssa.SSA(WINDOW, n_components=3).fit_long(series, 50)
+    return digits(ssa.long_components(series, fitted, WINDOW, 50), y=4)
+
+
+@query
+def ssa_truncated(spark, sf_dir):
+    """The greatest singular values of every series by Lanczos bidiagonalisation."""
+    found = ssa.SSA(WINDOW, n_components=3, solver="lanczos").fit(binned_events(spark, sf_dir))
+    return digits(found.select("signal_id", "component", "sigma"), sigma=4)
+
+
+@query
+def gabor_train(spark, sf_dir):
+    """The loss of each epoch of a fit of all embeddings as one image, over all tasks."""
+    windows = image_windows(spark, sf_dir)
+    losses = gabor.GaborLearner(SIZE, 8, epochs=6).train(windows).losses
+    return digits(spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double"), loss=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def within(df: DataFrame, **limits: tuple[float, float]) -> DataFrame:
+    """The rows whose named columns lie between two limits, both included; an infinite limit filters nothing, not even nulls. Plain comparisons, which reach the scan."""
+    for name, (low, high) in limits.items():
+        if low != -math.inf:
+            df = df.where(F.col(name) >= low)
+        if high != math.inf:
+            df = df.where(F.col(name) <= high)
+    return df
+
+
+def first_rows(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """The first row in ``order`` of each group, or of all; an aggregation, so nothing is sorted. Later columns break ties."""
+    by = by or []
+    rest = [c for c in df.columns if c not in (*by, *order)]
+    least = df.groupBy(*by).agg(F.min(F.struct(*order, *rest)).alias("__row")).where("__row IS NOT NULL")
+    return least.select(*by, "__row.*").select(*df.columns)
+
+
 def signal_rows(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """Row form: row_id and x, an array of doubles."""
     return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(array_col).cast("array<double>").alias("x"))
