@@ -4,14 +4,19 @@ The edges are the k-mers, windows of ``WINDOW`` consecutive words; an edge that
 starts in a document with a smaller id is a repeat. Edges are dealt over the tasks
 by their minimizer (the least hash of ``ANCHOR`` consecutive words in the window),
 so that equal edges meet, and the stretches of neighbouring edges with one
-minimizer travel as one packed row. In a bucket, neighbouring repeats whose first
-sources are neighbours too are one nonbranching path; paths of different buckets
-are then joined end to end by document coordinates into spans, and the spans go to
-their documents by an equi-join. The graph's nodes, the (k-1)-mers, are implied by
-neighbouring coordinates and not made as rows. Edges are compared by hashes: inside
-a task by the 64 bits of the whole window's, between tasks by the 64-bit minimizer
-and 48 bits of the window's; words are not compared again. A path holds only while
-source and copy run in step.
+minimizer travel as one packed row with the hashes of the nodes at its ends, the
+(k-1)-mers. In a bucket, neighbouring repeats whose first sources are neighbours too
+are a path, as in BCALM. Nodes where paths of different buckets meet become rows: a
+node's degrees are its distinct incoming and outgoing edges, and where both are 1 the
+paths on both sides are one nonbranching path. Joins that double the reach of every
+step (pointer jumping) give each path its chain and its place there
+(``compacted``); in documents, the paths of a chain whose places, coordinates and source
+coordinates run in step are a span. Copies may begin or end inside a path of others,
+and such paths stay apart in the graph; what overlaps or touches in a document is one span
+in the end, whatever the graph says, and the spans go to their documents by an
+equi-join. Edges are compared by hashes: inside a task by the 64 bits of the whole
+window's, between tasks by the 64-bit minimizer and 48 bits of the window's; words are
+not compared again.
 
 Before the shuffle each task merges the equal edges of the documents it holds: only
 those of the smallest id go on. Minimizers that stand in a large share of the
@@ -81,26 +86,26 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - span)], x[size - span :])
 
 
-def edges_of(text: bytes | None, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimizer and hash of each window of a text."""
+def edges_of(text: bytes | None, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer and hash of each window of a text, and the hashes of the nodes between them, one more at the end."""
     words = (text or b"").split()
     if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64),) * 3
     sums = sums_of(words)
-    return sliding_min(stretch_hashes(sums, anchor), window - anchor + 1), stretch_hashes(sums, window)
+    return sliding_min(stretch_hashes(sums, anchor), window - anchor + 1), stretch_hashes(sums, window), stretch_hashes(sums, window - 1)
 
 
 def documents_in_chunks(it: Iterator[pa.RecordBatch], window: int, anchor: int, chunk_words: int):
-    """(doc, row, minimizers, edges) lists of the documents with edges, about ``chunk_words`` edges at a time."""
-    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    """(doc, row, minimizers, edges, nodes) lists of the documents with edges, about ``chunk_words`` edges at a time."""
+    held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for batch in it:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             for doc, row, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                least, edge = edges_of(text, window, anchor)
+                least, edge, node = edges_of(text, window, anchor)
                 if len(edge):
-                    held.append((doc, row, least, edge))
+                    held.append((doc, row, least, edge, node))
                     size += len(edge)
                     if size >= chunk_words:
                         yield held
@@ -123,7 +128,7 @@ def hot_anchors(docs: DataFrame, window: int, anchor: int, chunk_words: int, par
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in documents_in_chunks(it, window, anchor, chunk_words):
-            least = np.concatenate([x[borders(x)] for _, _, x, _ in held])
+            least = np.concatenate([x[borders(x)] for _, _, x, *_ in held])
             value, many = np.unique(least, return_counts=True)
             use = many >= max(2.0, share / 2 * len(least))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(value[use], 0).view(np.int64)), pa.array(np.append(many[use], 0)), pa.array(np.append(np.zeros(use.sum(), np.int64), len(least)))], ["anchor", "n", "total"])
@@ -136,22 +141,22 @@ def hot_anchors(docs: DataFrame, window: int, anchor: int, chunk_words: int, par
 
 
 def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_words: int = CHUNK_WORDS, hash_bytes: int = HASH_BYTES) -> DataFrame:
-    """The paths of repeated edges in ``docs`` (doc, row, text): doc, row, first and last (edge numbers), source (the smallest document with them; null for edges merged in a task) and source_first."""
+    """The paths of repeated edges in ``docs`` (doc, row, text): doc, row, first and last (edge numbers), source (the smallest document with them) and source_first, the nodes at the ends where another bucket's path may go on (else null), and the hashes of the first and last edge. For edges merged in a task all but coordinates are null."""
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     hot = spark.sparkContext.broadcast(hot_anchors(docs, window, anchor, chunk_words, partitions))
-    path_schema = "doc long, row long, first long, last long, source long, source_first long"
+    path_schema = "doc long, row long, first long, last long, source long, source_first long, start_node long, end_node long, first_edge long, last_edge long"
+    path_names = [c.split()[0] for c in path_schema.split(", ")]
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["route", "anchor", "doc", "row", "first", "edges"]
+        names = ["route", "anchor", "doc", "row", "first", "edges", "start", "end"]
         for held in documents_in_chunks(it, window, anchor, chunk_words):
-            sizes = np.array([len(e) for *_, e in held])
+            sizes = np.array([len(x) for _, _, x, *_ in held])
             doc = np.repeat(np.array([d for d, *_ in held], np.int64), sizes)
             which = np.repeat(np.arange(len(held)), sizes)
             row = np.array([r for _, r, *_ in held], np.int64)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            least = np.concatenate([x for _, _, x, _ in held])
-            edge = np.concatenate([x for *_, x in held])
+            least, edge, node = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
             by = np.argsort(edge, kind="stable")
             first = np.flatnonzero(borders(edge[by]))
             smallest = np.minimum.reduceat(doc[by], first)
@@ -164,7 +169,7 @@ def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ch
             ends = place[high].astype("<i8")
             n = len(low)
             route = mixed(np.arange(n, dtype=np.uint64) + edge[low]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.nulls(n, pa.int64()), pa.array(doc[low]), pa.array(row[which[low]]), pa.array(place[low]), pa.array([x.tobytes() for x in ends], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.nulls(n, pa.int64()), pa.array(doc[low]), pa.array(row[which[low]]), pa.array(place[low]), pa.array([x.tobytes() for x in ends], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             # the others go on, packed by minimizer, or one by one where it is hot
             at = np.flatnonzero(~repeated)
             common = np.isin(least[at], hot.value)
@@ -172,22 +177,23 @@ def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ch
             low, high = at[begin], np.append(begin[1:], len(at))
             packed = edge[at].view(np.uint8).reshape(-1, 8)[:, :hash_bytes].tobytes()
             route = np.where(common[begin], mixed(edge[low] ^ least[low]), least[low]).view(np.int64)
+            final = at[high - 1] if len(at) else at
+            nodes = [x.view(np.int64) for x in (node[low + which[low]], node[final + which[final] + 1])]
             for lo in range(0, len(low), 50_000):
                 part = slice(lo, lo + 50_000)
                 edges = [packed[a * hash_bytes : b * hash_bytes] for a, b in zip(begin[part].tolist(), high[part].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(least[low[part]].view(np.int64)), pa.array(doc[low[part]]), pa.array(row[which[low[part]]]), pa.array(place[low[part]]), pa.array(edges, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(least[low[part]].view(np.int64)), pa.array(doc[low[part]]), pa.array(row[which[low[part]]]), pa.array(place[low[part]]), pa.array(edges, pa.binary()), *[pa.array(x[part]) for x in nodes]], names)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "row", "first", "last", "source", "source_first"]
-
         def paths(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            anchor, doc, row, first = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+            anchor, doc, row, first, start_node, end_node = (rows.column(i).to_numpy() for i in (1, 2, 3, 4, 6, 7))
             edges = rows.column(5).combine_chunks()
             size = pa.compute.binary_length(edges).to_numpy() // hash_bytes
             flat = np.zeros((int(size.sum()), 8), np.uint8)
             flat[:, :hash_bytes] = np.frombuffer(b"".join(edges.to_pylist()), np.uint8).reshape(-1, hash_bytes)
             which = np.repeat(np.arange(len(doc)), size)
-            place = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            place = first[which] + inside
             edge = flat.view(np.uint64)[:, 0]
             docs_, least = doc[which], anchor[which]
             by = np.lexsort((docs_, edge, least))
@@ -199,7 +205,9 @@ def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ch
             at = np.flatnonzero(docs_ > source)
             begin = np.flatnonzero(borders(which[at], place[at] - np.arange(len(at)), source[at], source_place[at] - np.arange(len(at))))
             low, high = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs_[low], row[which[low]], place[low], place[high], source[low], source_place[low])], names)
+            ends = [pa.array(start_node[which[low]], mask=inside[low] > 0), pa.array(end_node[which[high]], mask=inside[high] + 1 < size[which[high]])]
+            edges_at = [pa.array(mixed(edge[x] ^ mixed(least[x].view(np.uint64))).view(np.int64)) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (docs_[low], row[which[low]], place[low], place[high], source[low], source_place[low])], *ends, *edges_at], path_names)
 
         left = None
         for batch in it:
@@ -209,7 +217,7 @@ def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ch
             if ready.num_rows:
                 last = np.frombuffer(b"".join(ready.column(5).to_pylist()), "<i8")
                 n = ready.num_rows
-                yield pa.RecordBatch.from_arrays([*(ready.column(i).combine_chunks() for i in (2, 3, 4)), pa.array(last), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*(ready.column(i).combine_chunks() for i in (2, 3, 4)), pa.array(last), *[pa.nulls(n, pa.int64())] * 6], path_names)
             given = given.filter(pa.compute.invert(local))
             given = pa.concat_tables([left, given]) if left is not None else given
             if not given.num_rows:
@@ -222,7 +230,7 @@ def repeat_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ch
         if left is not None and left.num_rows:
             yield from paths(left)
 
-    packed = docs.mapInArrow(pack, "route long, anchor long, doc long, row long, first long, edges binary")
+    packed = docs.mapInArrow(pack, "route long, anchor long, doc long, row long, first long, edges binary, start long, end long")
     return packed.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(meet, path_schema)
 
 
@@ -233,10 +241,49 @@ def _with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).cast("binary").alias("text"))
 
 
+def compacted(paths: DataFrame) -> DataFrame:
+    """first_edge, last_edge, n (edges), chain and offset of each distinct path: paths in a row at nodes of one edge in and one out are one chain, offset edges from its first path on.
+
+    Each round joins every path with the one its pointer leads to, so reaches double; it
+    ends when no path finds more, with the paths of cycles, which have no first one, as
+    chains of their own.
+    """
+    distinct = paths.where("source IS NOT NULL").withColumn("n", F.col("last") - F.col("first") + 1).groupBy("first_edge", "last_edge", "n")
+    units = materialise(distinct.agg(F.max("start_node").alias("start_node"), F.max("end_node").alias("end_node")).withColumn("unit", F.xxhash64("first_edge", "last_edge", "n")))
+    ends = units.select(F.col("end_node").alias("node"), F.col("last_edge").alias("into"), F.lit(None).cast("long").alias("out"), F.struct("n", "unit").alias("before"))
+    starts = units.select(F.col("start_node").alias("node"), F.lit(None).cast("long").alias("into"), F.col("first_edge").alias("out"), F.lit(None).cast("struct<n: bigint, unit: bigint>").alias("before"))
+    # distinct edges on either side are one where the least and the greatest hash are the same
+    degrees = ends.unionByName(starts).where("node IS NOT NULL").groupBy("node").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("into", "out")], F.max("before").alias("before"))
+    single = degrees.where("min_into = max_into AND min_out = max_out").select(F.col("node").alias("start_node"), "before")
+    known = units.join(single, "start_node", "left").where("before IS NULL OR before.unit <> unit")
+    state = materialise(known.select("unit", F.coalesce("before.unit", "unit").alias("to"), F.coalesce("before.n", F.lit(0)).alias("offset"), F.col("before").isNull().alias("done")))
+    left = None
+    while (open_ := state.where("NOT done").count()) and open_ != left:
+        left = open_
+        ahead = state.select(F.col("unit").alias("to"), F.col("to").alias("next"), F.col("offset").alias("more"), F.col("done").alias("ends"))
+        state = materialise(state.join(ahead, "to", "left").select("unit", F.coalesce("next", "to").alias("to"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), (F.col("done") | F.coalesce("ends", F.lit(True))).alias("done")))
+    of = F.when(F.col("done"), F.col("to")), F.when(F.col("done"), F.col("offset"))
+    found = units.join(state, "unit", "left")
+    return found.select("first_edge", "last_edge", "n", F.coalesce(of[0], "unit").alias("chain"), F.coalesce(of[1], F.lit(0)).alias("offset"))
+
+
+def spans_of_chains(paths: DataFrame) -> DataFrame:
+    """doc, row, first and last of the spans that ``paths`` make along their chains: what runs in step with the chain and with the source, edge after edge."""
+    known, local = paths.where("source IS NOT NULL"), paths.where("source IS NULL")  # the latter have no edge to join by
+    placed = known.withColumn("n", F.col("last") - F.col("first") + 1).join(compacted(paths), ["first_edge", "last_edge", "n"], "left")
+    placed = placed.withColumn("shift", F.col("first") - F.col("offset")).withColumn("source_shift", F.col("source_first") - F.col("first"))
+    step = Window.partitionBy("doc", "row", "chain", "shift", "source", "source_shift").orderBy("first")
+    new = F.coalesce(F.col("first") > F.lag("last").over(step) + 1, F.lit(True)).cast("int")
+    numbered = placed.withColumn("new", new).withColumn("island", F.sum("new").over(step.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["doc", "row", "chain", "shift", "source", "source_shift", "island"]
+    spans = numbered.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return spans.select("doc", "row", "first", "last").unionByName(local.select("doc", "row", "first", "last"))
+
+
 def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """doc, row and spans (first word, end word excluded) of what repeats; paths are joined where one begins no later than behind another's last word."""
+    """doc, row and spans (first word, end word excluded) of what repeats; spans are joined where one begins no later than behind another's last word."""
     known = rows.where("doc is not null")
-    paths = materialise(repeat_paths(known, window, anchor, chunk_words))
+    paths = spans_of_chains(materialise(repeat_paths(known, window, anchor, chunk_words)))
     paths = paths.select("doc", "row", F.col("first").alias("start"), (F.col("last") + window).alias("end")).distinct()
     along = Window.partitionBy("doc", "row").orderBy("start", "end")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))

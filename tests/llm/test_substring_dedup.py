@@ -60,3 +60,48 @@ def test_edge_cases(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in s.report(df).collect()} == {(None, 0), (2, 60), (1, 0)}
     assert {r["doc_id"]: r["text"] for r in s.without_repeats(df).collect()} == {None: text, 2: "", 1: text}
     assert s.report(df.limit(0)).count() == 0
+
+
+def edge_paths(spark, rows):
+    """Paths (doc, first, last, source, source_first, start node, end node, first edge, last edge)."""
+    full = [(d, 0, *rest) for d, *rest in rows]
+    return spark.createDataFrame(full, "doc long, row long, first long, last long, source long, source_first long, start_node long, end_node long, first_edge long, last_edge long")
+
+
+def test_nonbranching_paths_are_chains(spark):
+    # 10 -> 20 -> 30 in a row; 30 ends at a node with two ways on; 60 -> 70 -> 60 is a cycle; 80 meets itself
+    found = s.compacted(edge_paths(spark, [
+        (5, 0, 2, 1, 0, None, 100, 10, 12), (5, 3, 6, 1, 3, 100, 200, 20, 23), (5, 7, 7, 1, 7, 200, 300, 30, 30),
+        (5, 8, 9, 1, 8, 300, None, 40, 41), (6, 8, 9, 1, 8, 300, None, 50, 51),
+        (6, 20, 21, 1, 20, 600, 700, 60, 61), (6, 22, 23, 1, 22, 700, 600, 70, 71),
+        (7, 0, 0, 1, 0, 800, 800, 80, 80), (7, 3, 5, 1, 3, None, None, 20, 23), (8, 1, 2, None, None, None, None, None, None),
+    ])).collect()
+    chains = {(r["first_edge"], r["n"]): (r["chain"], r["offset"]) for r in found}
+    head = chains[10, 3][0]
+    assert [chains[k] for k in ((10, 3), (20, 4), (30, 1))] == [(head, 0), (head, 3), (head, 7)]
+    others = [chains[k] for k in ((40, 2), (50, 2), (60, 2), (70, 2), (80, 1))]
+    assert len({c for c, _ in others} | {head}) == 6 and all(o == 0 for _, o in others)
+
+
+def test_a_gap_in_a_chain_parts_its_span(spark):
+    paths = edge_paths(spark, [
+        (5, 0, 2, 1, 0, None, 100, 10, 12), (5, 3, 6, 1, 3, 100, 200, 20, 23), (5, 7, 7, 1, 7, 200, None, 30, 30),
+        (6, 40, 42, 1, 0, None, 100, 10, 12), (6, 47, 47, 1, 7, 200, None, 30, 30), (7, 1, 2, None, None, None, None, None, None),
+    ])
+    assert sorted((r["doc"], r["first"], r["last"]) for r in s.spans_of_chains(paths).collect()) == [(5, 0, 7), (6, 40, 42), (6, 47, 47), (7, 1, 2)]
+
+
+def test_ids_of_other_kinds(spark):
+    text = " ".join(map(str, range(60)))
+    with pytest.raises(TypeError):
+        s.report(spark.createDataFrame([("a", text)], "doc_id string, text string"))
+    found = s.report(spark.createDataFrame([(1, text), (2, text)], "doc_id int, text string"))
+    assert dict(found.dtypes)["doc_id"] == "int" and {r["doc_id"]: r["n_removed"] for r in found.collect()} == {1: 0, 2: 60}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:50_000] + ["own"] + words[50_000:])), (3, " ".join(words[100:160]))]
+    found = s.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {1: 0, 2: 60_000, 3: 60}
