@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from signalframe.llm.common import LOWER, materialise, mixed
 
 FREQUENT = 200_000
+SHORT = 64  # bytes of a word that may be broadcast; longer ones are joined
 MERGED_WORDS = 300_000
 DISCOUNT = 0.6
 STEPS = 2
@@ -338,7 +339,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = rows.where(fold != HELD_OUT).count()
     n, v = words + ends, types + (ends > 0)
     scored = materialise(scored_words(counts, fitted_pieces(counts, path), path, words, types, ends))
-    top = scored.orderBy(F.desc("c"), "word").limit(frequent).toArrow()  # a bounded number
+    top = scored.where(F.octet_length("word") <= SHORT).orderBy(F.desc("c"), "word").limit(frequent).toArrow()  # a bounded number of bytes
     index = {w: i for i, w in enumerate(top.column("word").to_pylist())}
     shared = spark.sparkContext.broadcast((index, np.append(top.column("c").to_numpy(), 0), np.append(top.column("lp").to_numpy(), 0.0)))
     del top, index

@@ -17,7 +17,8 @@ is then scored in one pass without a shuffle.
 Defined cases: null text has no words; several labels of a document count as its
 worst; labels without a value, and those of missing documents, are left out;
 without any labelled document every weight is 0 and all documents are kept; rows
-that repeat an id are scored each; an empty table gives an empty result.
+that repeat an id are scored each; an empty table gives an empty result; columns of any
+other name pass through ``good_documents`` as they are and aren't read by ``report``.
 """
 
 from __future__ import annotations
