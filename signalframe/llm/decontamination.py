@@ -18,6 +18,7 @@ tasks never hold more than one block.
 
 Defined cases: a text that is null or has no words has n_words = 0 and no hits; an
 item without words has no phrase; items that repeat each other are reported each;
+rows that repeat an id, or have none, are judged each;
 with an empty benchmark nothing is hit; an empty table gives an empty result;
 columns of any name pass through ``annotate``.
 """

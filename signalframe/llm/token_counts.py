@@ -18,8 +18,9 @@ text anew can move a pre-token border only in white space at the cut's end and i
 contractions; ``prefix_counts`` counts the former as the library does for the cut
 text, and truncation points are the same for both.
 
-Defined cases: null text is an empty one, with 0 tokens and the one prefix 0; an
-empty table gives an empty result; other columns are not read.
+Defined cases: null text is an empty one, with 0 tokens and the one prefix 0; rows that
+repeat an id are counted each, and a null id is kept; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -38,3 +38,9 @@ def test_digests(spark):
     assert c.digests(df.limit(0)).count() == 0
     spans = {r["conv_id"]: r for r in c.format_conversations(df).collect()}
     assert spans[1]["rewritten_at"] is None and [s["role"] for s in spans[1]["spans"]] == ["user", "assistant"]
+
+
+def test_a_long_conversation(spark):
+    turns = [(1, n, "user" if n % 2 == 0 else "assistant", f"text {n} [OUT] </s>") for n in range(1200)]
+    got = c.digests(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
+    assert got["n_turns"] == 1200 and not got["history_rewritten"] and got["loss_chars"] == sum(len(t[3]) for t in turns[1::2])

@@ -71,3 +71,10 @@ def test_empty_tables_and_clashing_columns(spark):
     assert d.report(docs.limit(0), none).count() == 0
     items = spark.createDataFrame([(7, "A b")], "item_id long, text string")
     assert d.clean_documents(docs, items).count() == 0
+
+
+def test_a_very_long_text_and_repeated_ids(spark):
+    phrase = " ".join(f"q{n}" for n in range(13))
+    docs = spark.createDataFrame([(1, "a b c " * 300_000 + phrase + " a b c" * 1000), (2, phrase), (2, "none"), (None, phrase)], "doc_id long, text string")
+    got = d.report(docs, spark.createDataFrame([(7, phrase)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_hit"], r["contaminated"]) for r in got) == [("1", 13, False), ("2", 0, False), ("2", 13, True), ("None", 13, True)]

@@ -37,3 +37,9 @@ def test_edge_cases(spark):
     assert sorted(map(tuple, e.keep_rows(df).collect()), key=str) == sorted([(1, "a", "p"), (None, "b", "r")], key=str)
     assert e.report(df.limit(0)).count() == 0 and e.keep_rows(df.limit(0)).count() == 0
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in e.report(df.where("text = 'a' and doc_id is not null")).collect()) == [(1, 1, 2, True), (1, 1, 2, True)]
+
+
+def test_very_long_texts(spark):
+    text = "long words " * 300_000
+    df = spark.createDataFrame([(3, text), (2, text.replace(" ", "\n")), (1, text + "end")], "doc_id long, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in e.report(df, table_bytes=1 << 20).collect()} == {1: 1, 2: 2, 3: 2}

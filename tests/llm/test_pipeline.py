@@ -54,3 +54,29 @@ def test_stages_against_plain_code(spark, tmp_path):
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in ran.collect()} == before
     assert ran.count() >= len(before) and packing.CAPACITY == 4096
+
+
+def tables(spark, path, docs, more=""):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long" + more).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "some benchmark words that stand in no document of this table"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_nulls_repeated_ids_and_clashing_columns(spark, tmp_path):
+    text = " ".join(f"w{n}" for n in range(40))
+    docs = [(1, text, None, None, None, "k"), (1, text, None, None, None, "k"), (2, text + " ", "en", "a", 3, None), (None, "alone here", "en", "a", 3, None), (None, text, None, None, None, None), (5, None, None, None, None, None), (6, "", None, None, None, None), (7, "word " * 50_000, "en", "a", 1, "k")]
+    tables(spark, tmp_path, docs, ", quality string")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        rows = spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted(str(r["doc_id"]) for r in rows.collect()) == ["1", "5", "7", "None"]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {1, 5, 7, None} and sum(r["doc_id"] == 7 for r in pieces) > 1
+
+
+def test_empty_documents(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -53,3 +53,12 @@ def test_equal_rules_of_different_verdicts_block(spark):
     rules = spark.createDataFrame([("allow", "a.com", "/"), ("block", "a.com", "/")], "verdict string, host string, path string")
     got = {r["page_id"]: r["verdict"] for r in u.url_verdicts(pages, rules).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_clashing_columns_and_nulls(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "p", "q", "r"), (1, "http://a.com/x", "p", "q", "r"), (None, None, None, None, None)], "page_id long, url string, rule string, verdict string, path string")
+    rules = spark.createDataFrame([("block", "a.com", "/")], "verdict string, host string, path string")
+    got = u.url_verdicts(pages, rules).collect()
+    assert sorted((str(r["page_id"]), r["verdict"], str(r["rule"])) for r in got) == [("1", "block", "a.com/"), ("1", "block", "a.com/"), ("None", "allow", "None")]
+    long = spark.createDataFrame([(2, "http://a.com/" + "x" * 2_000_000)], "page_id long, url string")
+    assert u.url_verdicts(long, rules).first()["verdict"] == "block"
