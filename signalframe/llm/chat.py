@@ -52,12 +52,27 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def marked(role: str, text: str) -> str:
+    """One turn as ``TEMPLATE`` writes it."""
+    before, behind = MARKS.get(role) or (f"{OTHER[0]}{escape(role)}{OTHER[1]}", OTHER[2])
+    return f"{before}{escape(text)}{behind}"
+
+
 def TEMPLATE(turns: list[Turn]) -> str:  # noqa: N802
-    out = [BEGIN]
-    for role, text in turns:
-        before, behind = MARKS.get(role) or (f"{OTHER[0]}{escape(role)}{OTHER[1]}", OTHER[2])
-        out += [before, escape(text), behind]
-    return "".join(out)
+    return BEGIN + "".join([marked(*turn) for turn in turns])
+
+
+def remembering() -> Callable[[list[Turn]], str]:
+    """``TEMPLATE`` for the prefixes of one conversation: a turn is escaped once, not again for each prefix."""
+    pieces: dict[Turn, str] = {}
+
+    def render(turns: list[Turn]) -> str:
+        for turn in turns[-1:]:
+            if turn not in pieces:
+                pieces[turn] = marked(*turn)
+        return BEGIN + "".join([pieces[turn] if turn in pieces else marked(*turn) for turn in turns])
+
+    return render
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -122,7 +137,7 @@ def format_conversations(df: DataFrame, render: Callable[[list[Turn]], str] = TE
     arrow = pa.schema([("id", to_arrow_type(kind)), ("formatted", pa.string()), ("spans", pa.list_(span)), ("rewritten_at", pa.int64())])
 
     def one(key, turns):
-        formatted, spans, rewritten = turn_spans(render, turns)
+        formatted, spans, rewritten = turn_spans(remembering() if render is TEMPLATE else render, turns)
         return {"id": key, "formatted": formatted, "spans": [{"role": r, "start": a, "end": b} for (a, b), (r, _) in zip(spans, turns, strict=False)], "rewritten_at": rewritten}
 
     schema = f"id {kind.simpleString()}, formatted string, spans array<struct<role: string, start: bigint, end: bigint>>, rewritten_at long"
@@ -137,7 +152,7 @@ def digests(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role
     arrow = pa.schema([("id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("history_rewritten", pa.bool_())])
 
     def one(key, turns):
-        formatted, spans, rewritten = turn_spans(TEMPLATE, turns)
+        formatted, spans, rewritten = turn_spans(remembering(), turns)
         back = read_back(formatted)
         loss = "".join(unescape(formatted[a:b]) for a, b in loss_spans(formatted, spans, back))
         return {"id": key, "n_turns": len(back), "turns_sha256": _digest("".join(f"{r}\n{t}\n" for r, t in back)), "loss_chars": len(loss), "loss_sha256": _digest(loss), "formatted_chars": len(formatted), "history_rewritten": rewritten is not None}

@@ -44,3 +44,9 @@ def test_a_long_conversation(spark):
     turns = [(1, n, "user" if n % 2 == 0 else "assistant", f"text {n} [OUT] </s>") for n in range(1200)]
     got = c.digests(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
     assert got["n_turns"] == 1200 and not got["history_rewritten"] and got["loss_chars"] == sum(len(t[3]) for t in turns[1::2])
+
+
+def test_remembered_turns_render_the_same():
+    turns = [("user", "a [INST]"), ("tool", "x\\"), ("user", "a [INST]"), ("assistant", "")]
+    render = c.remembering()
+    assert all(render(turns[:n]) == c.TEMPLATE(turns[:n]) for n in (0, 1, 2, 3, 4)) and c.remembering()(turns) == c.TEMPLATE(turns)
