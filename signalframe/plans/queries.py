@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalframe import functions as X
 from signalframe.operators import epochs, fourier, gabor, lowrank, simulate, ssa
-from signalframe.sources import binned_events, embedding_rows, first_rows, read_table, to_long, validate_signals, within
+from signalframe.sources import binned_events, embedding_rows, first_rows, read_table, to_long, to_rows, validate_signals, within
 
 FS = 64.0
 WINDOW = 12
@@ -31,13 +31,12 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
 def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean signal of each label."""
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("row_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "v"))
-    means = rows.groupBy("row_id", "j").agg(F.avg("v").alias("v"))
-    return means.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("x"))
+    return to_rows(rows.groupBy("row_id", "j").agg(F.avg("v").alias("v")))
 
 
 def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The binned event series as rows: signal_id, x."""
-    return binned_events(spark, sf_dir).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("x"))
+    return to_rows(binned_events(spark, sf_dir), "signal_id", "t", "x")
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:

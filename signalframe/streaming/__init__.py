@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.functions import frequency
+from signalframe.operators.fourier import _transformed
 
 
 def running_power(stream: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -20,9 +21,10 @@ def running_power(stream: DataFrame, by: list[str] | None = None) -> DataFrame:
     For an output mode of 'complete' or 'update'. With a watermark and a window among
     ``by`` the groups close and 'append' works as well.
     """
+
     @F.pandas_udf("array<double>")
     def power(x: pd.Series) -> pd.Series:
-        return pd.Series([np.abs(np.fft.fft(v)) ** 2 / len(v) for v in x], dtype=object)
+        return pd.Series(_transformed(list(x), lambda v: np.abs(np.fft.fft(v.astype(float), axis=1)) ** 2 / v.shape[1]), dtype=object)
 
     by = by or []
     bins = stream.select(*by, F.size("x").alias("m"), F.posexplode(power("x")).alias("k", "p"))
