@@ -41,7 +41,7 @@ LARGE = 8  # lengths over capacity / LARGE are large
 GROUPS = 256
 CACHED_WORDS = 800_000
 MARKS = (",", ".")
-SLICE = 512
+SLICE = 2048
 
 
 def cut_mark(part: str) -> str:
@@ -115,19 +115,24 @@ class WordIds:
         marks = list(map(cut_mark, new))
         bodies = [p[:-1] if m else p for p, m in zip(new, marks, strict=True)]
         bodies = [b.lower() if b.isascii() and "<" not in b else b for b in bodies]
-        self._encode(list(dict.fromkeys(b for b in bodies if b not in index)))
-        for mark in ("", *MARKS):
-            mine = [(p, b) for p, b, m in zip(new, bodies, marks, strict=True) if m == mark and p not in index]
+        self._encode(list(dict.fromkeys([b for b in bodies if b not in index])))
+        others: dict[str, tuple[list[str], list[str]]] = {mark: ([], []) for mark in ("", *MARKS)}
+        for p, b, m in zip(new, bodies, marks, strict=True):
+            if p not in index:
+                mine = others[m]
+                mine[0].append(p)
+                mine[1].append(b)
+        for mark, (mine, mine_bodies) in others.items():
             if not mine:
                 continue
-            codes = np.fromiter((index[b] for _, b in mine), np.int64, len(mine))
+            codes = np.fromiter(map(index.__getitem__, mine_bodies), np.int64, len(mine))
             starts, lengths = self.start[codes], self.length[codes]
             if mark:
                 ids, _ = self._gathered(np.stack([codes, np.full(len(codes), index[mark])], axis=1).ravel())
                 lengths = lengths + self.length[index[mark]]
                 self._append(ids)
                 starts = self.used - len(ids) + np.cumsum(lengths) - lengths
-            self._add([p for p, _ in mine], starts, lengths)
+            self._add(mine, starts, lengths)
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text. Arrow splits the texts and numbers their distinct parts; only these become Python strings."""
