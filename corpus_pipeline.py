@@ -50,7 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 4096 tokens."""
     ship_package(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, thrifty=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

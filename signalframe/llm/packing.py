@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import claim, fresh, materialise
+from signalframe.llm.common import claim, fresh, materialise, release
 
 CAPACITY = 4096
 END_ID = 1
@@ -42,6 +42,7 @@ GROUPS = 256
 CACHED_WORDS = 800_000
 MARKS = (",", ".")
 SLICE = 2048
+THRIFTY_WORDS, THRIFTY_SLICE = 200_000, 512
 
 
 def cut_mark(part: str) -> str:
@@ -153,10 +154,11 @@ class WordIds:
 _encoders: dict[str, WordIds] = {}
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, limit: int = CACHED_WORDS) -> WordIds:
     claim("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordIds(path)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 
@@ -166,18 +168,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of a document: id, piece, start, length, ids_crc32 and, asked for, the ids."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, thrifty: bool = False) -> DataFrame:
+    """A row for each piece of a document: id, piece, start, length, ids_crc32 and, asked for, the ids. ``thrifty`` tasks know fewer words at a time, take fewer texts at once and give the tokenizer and its words back at their end, which costs time: half as much again."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path or tokenizer_path())
+        words = encoder(path or tokenizer_path(), THRIFTY_WORDS if thrifty else CACHED_WORDS)
+        size = THRIFTY_SLICE if thrifty else SLICE
         for batch in it:
             keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(texts), SLICE):
+            for lo in range(0, len(texts), size):
                 rows, out = [], []
-                for row, ids in enumerate(words.encode_all(texts[lo : lo + SLICE]), lo):
+                for row, ids in enumerate(words.encode_all(texts[lo : lo + size]), lo):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
@@ -186,6 +189,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *columns], [id_col, "piece", "start", "length", "ids_crc32", "ids"][: 1 + len(columns)])
+        if thrifty:
+            del words
+            release()
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
@@ -350,9 +356,9 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY, groups: i
     return placed.select(*[F.col(f"`{c}`") for c in parts.columns], f"{place}.sequence_id", f"{place}.offset")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, with_ids: bool = False, thrifty: bool = False) -> DataFrame:
     """Cuts and packs ``docs``: the rows of ``pieces`` with sequence_id and offset."""
-    parts = materialise(pieces(docs, id_col, text_col, path, capacity, end_id, with_ids))
+    parts = materialise(pieces(docs, id_col, text_col, path, capacity, end_id, with_ids, thrifty))
     return pack(parts, [id_col, "piece", "ids_crc32"], capacity, groups)
 
 

@@ -1,7 +1,10 @@
 import random
+import time
+
+import pyarrow as pa
 
 import corpus_pipeline
-from signalframe.llm import packing
+from signalframe.llm import common, packing
 from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_parity_join import brute as components
 
@@ -80,3 +83,38 @@ def test_nulls_repeated_ids_and_clashing_columns(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_tasks_keep_no_tokenizer(spark, monkeypatch):
+    class Task:
+        """Stands for documents and gives the task that is to run on them."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):
+            return task
+
+    texts = [None, "", " ".join(f"word{n}" for n in range(5000)), *(f"text {n % 40}, of Words." for n in range(1500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    expected = pa.Table.from_batches(packing.pieces(Task())(iter([batch])))
+    monkeypatch.setattr(packing, "materialise", lambda x: x)
+    monkeypatch.setattr(packing, "pack", lambda parts, *a: parts)
+    task = corpus_pipeline.best_fit_packing(spark, Task(), "")
+    assert pa.Table.from_batches(task(iter([batch, batch.slice(0, 0)]))) == expected and len(expected) > len(texts)
+    assert not packing._encoders and common._cache[0] == ""
+
+
+def test_decontamination_tasks_release_their_memory(spark, tmp_path):
+    tables(spark, tmp_path, [(n, f"text {n}", "en", "a", 3) for n in range(200)])
+    assert corpus_pipeline.benchmark_decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(8), str(tmp_path)).count() == 200
+
+    def owner(it):
+        for _ in it:
+            time.sleep(0.02)
+        yield pa.RecordBatch.from_arrays([pa.array([str(common._cache[0])])], ["owner"])
+
+    owners = {r["owner"] for r in spark.range(64).repartition(64).mapInArrow(owner, "owner string").collect()}
+    assert "decontamination" not in owners
