@@ -18,38 +18,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from signalframe.llm import decontamination, exact_dedup, packing, parity_join, quality
-from signalframe.llm.common import materialise, read, ship_package
+from signalframe.llm.common import materialise, read, return_heap, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def prepare(spark: SparkSession) -> None:
+    """What each stage begins with: the package for the workers, and executors without the heap that the stages before have touched."""
+    ship_package(spark)
+    return_heap(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the ordinal classifier doesn't think good; ratings come from ``labels``."""
-    ship_package(spark)
+    prepare(spark)
     return quality.good_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.keep_rows(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-equal texts (five-word shingles, Jaccard 0.8) the one with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return parity_join.representatives(docs, k=5, threshold=(80, 100))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which the benchmark's windows hit one word in twenty at least."""
-    ship_package(spark)
+    prepare(spark)
     return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 4096 tokens."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack_documents(docs, thrifty=True)
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalframe.tables import materialise, shared_dir, shuffle_partitions  # noqa: F401
 
@@ -46,6 +47,12 @@ def ship_package(spark: SparkSession, thrifty: bool = True) -> None:
         spark.conf.set(BATCH_BYTES, "8m")
 
 
+def return_heap(spark: SparkSession) -> None:
+    """Lets the executors' JVMs collect garbage and give the heap that is then free back, for the Python workers beside them: one short task for each core, which Spark deals over all executors. Else a JVM keeps what the work before has touched."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 _cache: list = [None, None]
 
 

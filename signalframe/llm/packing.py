@@ -331,7 +331,8 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY, groups: i
     bits = 44
     table = np.array([[n << bits | first, first, seq, per, offset] for n, first, _, seq, per, offset in runs], np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
-    salts = spark.createDataFrame([(n, int(c**0.5) + 1) for n, c in histogram.items()], f"length long, {many} int")
+    # from Arrow, as a list of rows would go through Python workers of another pool, which then stay for a minute
+    salts = spark.createDataFrame(pa.table({"length": pa.array(list(histogram), pa.int64()), many: pa.array([int(c**0.5) + 1 for c in histogram.values()], pa.int32())}))
     salted = parts.join(F.broadcast(salts), "length").withColumn(salt, F.pmod(F.xxhash64(*order), F.col(many)).cast("int"))
     bases = (
         salted.groupBy("length", salt)

@@ -118,3 +118,28 @@ def test_decontamination_tasks_release_their_memory(spark, tmp_path):
 
     owners = {r["owner"] for r in spark.range(64).repartition(64).mapInArrow(owner, "owner string").collect()}
     assert "decontamination" not in owners
+
+
+def test_stages_begin_with_a_full_collection(spark, tmp_path):
+    tables(spark, tmp_path, [(n, f"text {n}", "en", "a", 3) for n in range(20)])
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if b.getName() not in ("G1 Young Generation", "PS Scavenge", "Copy"))
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, rows, str(tmp_path))
+        assert collections() > before, name
+
+
+def test_packing_plans_start_no_python_workers(spark, tmp_path, monkeypatch):
+    def parallelize(*a, **b):
+        raise AssertionError("a list of rows goes through Python workers of a second pool")
+
+    parts = spark.range(50).selectExpr("id as doc_id", "0 as piece", "id % 7 + 1 as length", "id as ids_crc32")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    rows = packing.pack(parts, ["doc_id"]).collect()
+    assert len(rows) == 50 and packing.pack(parts.limit(0), ["doc_id"]).count() == 0
+    assert {(r["sequence_id"], r["offset"] + n) for r in rows for n in range(r["length"])} == {(0, n) for n in range(sum(r["length"] for r in rows))}
